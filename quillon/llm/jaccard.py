@@ -41,7 +41,7 @@ from quillon.operators.graph import connected_components
 from quillon.scratch import Scratch
 from quillon.llm.textkernel import Words, mix, sequence_hashes, signed, slices, window_hashes
 
-WIDTH, GROUPS, TINY, SPLIT, SPARE, STARS = 5, 24, 67, 4096, 8, 2
+WIDTH, GROUPS, TINY, SPLIT, SPARE, STARS = 5, 24, 67, 256, 8, 2
 NARROW, WIDE, BIG = 16, 128, 400
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
@@ -219,9 +219,11 @@ def _stars(mixed: DataFrame, sets: DataFrame, turn: int, near: str) -> DataFrame
 
 
 def _pairs(mixed: DataFrame, sets: DataFrame, near: str) -> DataFrame:
-    """Pairs (a < b) of sets in one bucket and in different components."""
-    rows = mixed.select("sig", "id", "c").join(sets, "id")
-    return rows.alias("x").join(rows.alias("y"), F.expr(f"x.sig = y.sig and x.id < y.id and x.c <> y.c and {near}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    """Pairs (a < b) of sets in one bucket and in different components, each made in the least bucket that both are in."""
+    held = mixed.groupBy("id").agg(F.collect_set("sig").alias("held"))
+    rows = mixed.select("sig", "id", "c").join(sets, "id").join(held, "id")
+    able = f"x.sig = y.sig and x.id < y.id and x.c <> y.c and {near} and array_min(array_intersect(x.held, y.held)) = x.sig"
+    return rows.alias("x").join(rows.alias("y"), F.expr(able)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
