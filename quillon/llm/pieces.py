@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quillon.llm.textkernel import BYTE_BASE, CODES, mix, powers, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE, LONG, KEPT = 4 << 20, 128, 400_000
+SLICE, LONG, KEPT = 2 << 20, 128, 200_000
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
