@@ -153,14 +153,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = _keyed(docs, id_col, text_col)
 
     parsed = scratch.write("factors", texts.mapInArrow(_parse(window, anchor), "doc_id long, th long, first int, n int, block long, digest long"))
-    blocks = (
-        parsed.groupBy("block")
-        .agg(F.count("*").alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-        .where("c > 1")
-        .select("block", (F.col("lo") != F.col("hi")).alias("mixed"))
-    )
+    counted = parsed.groupBy("block").agg(F.count("*").alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    blocks = scratch.write("blocks", counted.where("c > 1").select("block", (F.col("lo") != F.col("hi")).alias("mixed")))
     live = scratch.write("live", parsed.join(blocks.hint("shuffle_hash"), "block").drop("block"))
-    scratch.drop("factors")
+    scratch.drop("factors", "blocks")
 
     distinct = live.where("mixed").groupBy("digest").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "th", "first", "n")).alias("rep"))
     spots = distinct.groupBy("rep.doc_id", "rep.th").agg(F.collect_list(F.struct("rep.first", "rep.n", "digest", "weight")).alias("spots"))
