@@ -175,10 +175,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     seen = parts.groupBy("host", "hash", "row").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n"))
     common = seen.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= F.col("pages") * share).select("host", "hash")
     ranges = parts.join(common.hint("shuffle_hash"), ["host", "hash"]).groupBy("row").agg(F.collect_set(F.struct("first", "past")).alias("ranges"))
-    joined = parsed.drop("parts").join(ranges, "row", "left")
+    some = F.size("parts") > 0
+    joined = parsed.where(some).drop("parts").join(ranges, "row", "left")
     left = F.expr("filter(blocks, (t, i) -> not exists(ranges, r -> i >= r.first and i < r.past))")
     kept = F.when(F.col("ranges").isNull(), F.col("blocks")).otherwise(F.when(F.size(left) > 0, left).otherwise(F.col("blocks")))
-    return joined.select("page_id", "url", F.array_join(kept, "\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    whole = parsed.where(~some).select("page_id", "url", F.col("blocks").alias("kept"))
+    texts = joined.select("page_id", "url", kept.alias("kept")).unionByName(whole)
+    return texts.select("page_id", "url", F.array_join("kept", "\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op10_htmltext(spark, sf_dir: str) -> DataFrame:
