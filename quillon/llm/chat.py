@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.session import bound_batches
 from quillon.llm.textkernel import slices, utf8
 
 OPEN, CLOSE, TURN_END = b"<|im_start|>", b"<|im_end|>", b"<|im_end|>\n"
@@ -141,6 +142,7 @@ def _format(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Formatted fragments (conv_id, part, body, turns, loss); a conversation's fragments follow each other by ``part``."""
+    bound_batches(turns)
     rows = turns.select(turns[conv_col].cast("long").alias("conv_id"), turns[turn_col].cast("long").alias("turn"), turns[role_col].alias("role"), turns[text_col].alias("text"))
     dealt = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
     found = dealt.mapInArrow(_format, FRAGMENTS)
@@ -183,6 +185,7 @@ def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_chats(fragments: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read from the formatted bytes."""
+    bound_batches(fragments)
     dealt = fragments.repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return dealt.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.session import bound_batches
 from quillon.llm.textkernel import mix, slices
 
 Q, EDIT_RATE, BLOCK_CHARS = 10, 0.08, 4_000_000
@@ -206,6 +207,7 @@ def _search_batches(index: Index):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = Q, edit_rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, start, stop, distance) of every benchmark passage in ``docs``."""
+    bound_batches(docs)
     spark = docs.sparkSession
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), F.coalesce(benchmark["text"], F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.char_length("text") + 32), F.lit(0))).first()[0]

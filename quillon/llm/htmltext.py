@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.scratch import Scratch
+from quillon.llm.session import bound_batches
 from quillon.llm.textkernel import slices
 from quillon.llm.urls import host_of
 
@@ -166,6 +167,7 @@ def _parse_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 3, share: float = 0.5) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
+    bound_batches(pages)
     scratch = Scratch(pages.sparkSession, "htmltext")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), host_of(pages[url_col]).alias("host"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
     schema = "page_id long, url string, host string, blocks array<string>, parts array<struct<hash:bigint,first:int,past:int>>"

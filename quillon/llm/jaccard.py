@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.graph import connected_components
 from quillon.scratch import Scratch
+from quillon.llm.session import bound_batches
 from quillon.llm.textkernel import Words, mix, sequence_hashes, signed, slices, window_hashes
 
 WIDTH, GROUPS, TINY, SPLIT, SPARE, STARS = 5, 24, 67, 256, 8, 2
@@ -231,6 +232,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``num / den`` may be 3/4 or more: the signature levels are those of 3/4.
     """
+    bound_batches(docs)
     if 4 * num < 3 * den:
         raise ValueError("the signature levels hold for similarities of 0.75 and more")
     scratch = Scratch(docs.sparkSession, "jaccard")

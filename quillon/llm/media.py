@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.session import bound_batches
 from quillon.llm.textkernel import slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -151,11 +152,13 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_images(rows: DataFrame, id_col: str = "doc_id", payload_col: str = "text") -> DataFrame:
     """(doc_id, media): each payload as a PNG of rows of 576 samples, padded with bytes 255."""
+    bound_batches(rows)
     return rows.select(rows[id_col].cast("long").alias("doc_id"), rows[payload_col].cast("binary").alias("payload")).mapInArrow(_store, "doc_id long, media binary")
 
 
 def image_features(images: DataFrame) -> DataFrame:
     """What the stored bytes read back to: lengths, digests and the cosine hash."""
+    bound_batches(images)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return images.select("doc_id", "media").mapInArrow(_measure, schema)
 

@@ -31,10 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.session import bound_batches
 from quillon.llm.textkernel import BYTE_BASE, CODES, mix, powers, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE, LONG, KEPT = 2 << 20, 128, 200_000
+SLICE, LONG, KEPT = 1 << 20, 128, 200_000
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -301,6 +302,7 @@ def read_model(path: str = MODEL) -> bytes:
 
 def encode(rows: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``rows`` with the ids of each whole text; the model's bytes are sent to the executors."""
+    bound_batches(rows)
     if ids_col in rows.columns:
         raise ValueError(f"{ids_col} is a column of the table already")
     held = rows.sparkSession.sparkContext.broadcast(model)
@@ -318,6 +320,7 @@ def encode(rows: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of each list of ids."""
+    bound_batches(rows)
     if text_col in rows.columns:
         raise ValueError(f"{text_col} is a column of the table already")
     held = rows.sparkSession.sparkContext.broadcast(model)

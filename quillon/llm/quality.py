@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.session import bound_batches
 from quillon.llm.textkernel import slices, utf8
 
 CHUNK, OVERLAP, WIDTH, STRIDE = 256, 32, 6, 2
@@ -148,6 +149,7 @@ def _spread_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Net | None:
     """A network fitted to a bounded sample of the labelled rows that are not held out."""
+    bound_batches(docs)
     key = labels[id_col].cast("long")
     usable = labels.where(labels[label_col].isNotNull() & key.isNotNull() & ~held_out(key)).select(key.alias("doc_id"), labels[label_col].cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -175,12 +177,14 @@ def _score(net: Net | None):
 
 def score_texts(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row of ``docs``."""
+    bound_batches(docs)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInArrow(_score(net), "doc_id long, text string, score double").select("doc_id", "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score the threshold or more, all columns kept."""
+    bound_batches(docs)
     net = train(docs, labels, id_col, text_col)
     rows = docs if text_col == "text" else docs.withColumnRenamed(text_col, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.session import bound_batches
 from quillon.llm.textkernel import slices
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -123,6 +124,7 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) of every row of ``docs``; spans: array of (kind, start, stop)."""
+    bound_batches(docs)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:int,stop:int>>")
 
@@ -150,6 +152,7 @@ def _redact(mark: str):
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[{}]") -> DataFrame:
     """The rows of ``docs`` with each span replaced by its kind in brackets."""
+    bound_batches(docs)
     rows = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     out = rows.mapInArrow(_redact(mark), schema)

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.scratch import Scratch
+from quillon.llm.session import bound_batches
 from quillon.llm.textkernel import Words, mix, sequence_hashes, signed, slices, window_hashes
 
 WINDOW, ANCHOR = 35, 6
@@ -146,6 +147,7 @@ def _cut(window: int):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row of ``docs``."""
+    bound_batches(docs)
     if not 1 <= anchor <= window or window - anchor + 1 > 62:
         raise ValueError("the anchor must fit the window, and at most 62 windows share one")
     spark = docs.sparkSession
