@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from quillon.plans import analytics_queries, spatial_queries
+
+_ALL = spatial_queries.PLANS | analytics_queries.PLANS
+QUERIES = {name: f for name, (f, _) in _ALL.items()}
+ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql}
