@@ -53,9 +53,9 @@ _C2 = f"""with recursive {_C1}, alone as (select image, bubble_id, x, y, area fr
  reach(image, u, v) as (select image, u, v from e union select r.image, r.u, e.v from reach r join e on r.image = e.image and r.v = e.u),
  comp as (select image, u as bubble_id, least(u, min(v)) as root from reach group by image, u),
  mem as (select c.image, c.bubble_id, c.root, a.x, a.y, a.area from comp c join alone a using (image, bubble_id)),
- cen as (select image, root, sum(x*area)/sum(area) as x, sum(y*area)/sum(area) as y, arg_max(bubble_id, area) as new_id from mem group by image, root),
+ cen as (select image, root, sum(x*area)/sum(area) as x, sum(y*area)/sum(area) as y, first(bubble_id order by area desc, bubble_id) as new_id from mem group by image, root),
  halo as (select c.image, c.root, count(*) as n from cen c join bub b on b.image = c.image and sqrt((c.x-b.x)*(c.x-b.x)+(c.y-b.y)*(c.y-b.y)) <= {R_HALO}
-   where not exists (select 1 from mem m where m.image = c.image and m.root = c.root and m.bubble_id = b.bubble_id) group by c.image, c.root),
+   left join mem m on m.image = c.image and m.root = c.root and m.bubble_id = b.bubble_id where m.bubble_id is null group by c.image, c.root),
  good as (select cen.image, cen.root, cen.new_id from cen left join halo using (image, root) where coalesce(halo.n, 0) < {MAX_HALO}),
  c2 as (select c1.* exclude (cluster_id), coalesce(g.new_id, c1.cluster_id) as cluster_id, g.new_id is not null as lonely_pass from c1 left join comp using (image, bubble_id) left join good g on g.image = comp.image and g.root = comp.root)"""
 
