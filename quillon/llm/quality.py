@@ -85,8 +85,8 @@ class Net:
         return out + self.p["fbias"]
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
-        hidden = np.maximum(np.maximum(pooled, 0) @ self.p["dense"] + self.p["dbias"], 0)
-        return hidden @ self.p["out"] + self.p["obias"][0]
+        hidden = np.maximum(np.maximum(pooled, 0).astype(np.float64) @ self.p["dense"] + self.p["dbias"], 0)
+        return hidden @ self.p["out"].astype(np.float64) + self.p["obias"][0]
 
     def fit(self, chunks: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, rate: float = 4e-3, decay: float = 1e-4) -> None:
         rng = np.random.Generator(np.random.PCG64(11))
@@ -129,9 +129,9 @@ class Net:
     def scores(self, data: np.ndarray, offsets: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Probability of each text, from all of its chunks."""
         chunks, first = chunk_bytes(data, offsets)
-        z = np.clip(self.logits(self.pooled(chunks, tables)).astype(np.float64), -30, 30)
+        z = np.clip(self.logits(self.pooled(chunks, tables)), -30, 30)
         mean = np.add.reduceat(z, first[:-1]) / np.diff(first) if len(first) > 1 else z
-        return 1 / (1 + np.exp(-mean))
+        return np.round(1 / (1 + np.exp(-mean)), 9)  # equal texts, equal scores in any slice
 
 
 def _spread_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
