@@ -213,8 +213,14 @@ class Model:
                 a, b = s + begin[c], e + begin[c]
                 edge[a + 1 : b] = False
                 after[a], symbol[a] = b, self.long_ids[p]
-        order = np.lexsort((start[~big], grade[~big], owner[~big]))
-        start, end, owner, number = (x[~big][order] for x in (start, end, owner, number))
+        if big.any():
+            start, end, owner, number, grade = (x[~big] for x in (start, end, owner, number, grade))
+        grades, places = int(self.grade[-1] + 1).bit_length(), len(codes).bit_length()
+        if len(chunks).bit_length() + grades + places <= 62:
+            order = np.argsort((owner << (grades + places)) | (grade << places) | start)
+        else:
+            order = np.lexsort((start, grade, owner))
+        start, end, owner, number = (x[order] for x in (start, end, owner, number))
         while len(start):
             live = np.flatnonzero(after[np.minimum(after[start], len(codes))] == end)
             if not len(live):
@@ -240,7 +246,8 @@ class Model:
             ids[ids < 0] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         places = np.append(0, np.cumsum(width))
         cuts = places[np.searchsorted(head, begin)]
-        return np.split(ids.astype(np.int32), cuts[1:])
+        flat, cuts = ids.astype(np.int32), [*cuts.tolist(), len(ids)]
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, column: pa.Array, kept: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, row offsets) of a slice of texts."""
