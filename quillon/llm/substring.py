@@ -165,12 +165,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shown = texts.alias("t").join(spots.alias("s"), F.expr("t.doc_id <=> s.doc_id and t.th = s.th")).select("t.text", "s.spots")
     windows = scratch.write("windows", shown.mapInArrow(_windows(window), "wh long, digest long, delta int, weight long"))
     again = windows.groupBy("wh").agg(F.sum("weight").alias("w")).where("w > 1").select("wh")
-    masks = windows.join(again.hint("shuffle_hash"), "wh").groupBy("digest").agg(F.expr("bit_or(shiftleft(1L, delta))").alias("mask"))
+    masks = scratch.write("masks", windows.join(again.hint("shuffle_hash"), "wh").groupBy("digest").agg(F.expr("bit_or(shiftleft(1L, delta))").alias("mask")))
 
     settled = live.where("not mixed").select("doc_id", "th", "first", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     checked = live.where("mixed").join(masks, "digest").select("doc_id", "th", "first", "mask")
     marks = scratch.write("marks", settled.unionByName(checked).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "mask")).alias("marks")))
-    scratch.drop("windows", "live")
+    scratch.drop("windows", "live", "masks")
 
     joined = texts.alias("t").join(marks.alias("m"), F.expr("t.doc_id <=> m.doc_id and t.th = m.th"), "left")
     empty = F.expr("cast(array() as array<struct<first:int,mask:bigint>>)")
