@@ -8,10 +8,11 @@ and the two-part subsets of every group are enumerated: a group that holds at mo
 one differing part gives both sets the same signature. Levels follow the larger
 set, so a set whose partners may reach the next level is signed for both.
 
-Enumerating 16 groups bounds a text's signatures at 48 a level whatever its length;
-a pair at exactly the threshold then fails to share one with probability below 1e-9,
-pairs above it far less. Sets of 64 shingles or fewer sign each shingle (every part
-is one element), which never misses.
+Enumerating ``GROUPS`` groups bounds a text's signatures at 84 a level whatever its
+length. A pair at exactly the threshold then shares ``SPARE`` signatures or fewer with
+probability 2e-13 where k / 2**j is 0.9 and 1.7e-9 at a level's end, 1.2; pairs above
+the threshold far less often. Sets of 67 shingles or fewer sign each shingle (every
+part is one element), which never misses.
 
 Equal sets are merged first. Similar sets share many signatures, so each set leaves
 out its hottest ones: all but a quarter of the single-shingle ones, and ``SPARE`` of
@@ -42,7 +43,7 @@ from quillon.scratch import Scratch
 from quillon.llm.session import bound_batches
 from quillon.llm.textkernel import Words, mix, sequence_hashes, signed, slices, window_hashes
 
-WIDTH, GROUPS, TINY, SPLIT, SPARE, STARS = 5, 24, 67, 256, 8, 2
+WIDTH, GROUPS, TINY, SPLIT, SPARE, STARS = 5, 28, 67, 256, 7, 2
 NARROW, WIDE, BIG = 16, 128, 400
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
