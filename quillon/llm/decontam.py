@@ -15,8 +15,8 @@ The benchmark is read in hashed blocks of bounded text, each searched in all
 documents, so what is sent to executors at once has a checked size.
 
 Defined cases: null and empty texts or items match nothing; an item that occurs
-several times gives a row for each separate region; repeated rows give repeated
-results; extra columns are ignored; an empty benchmark or table gives no rows.
+several times gives a row for each separate region; a null item id counts as -1;
+repeated rows give repeated results; extra columns are ignored; an empty benchmark or table gives no rows.
 """
 
 from __future__ import annotations
@@ -116,31 +116,41 @@ class Index:
         self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
         self.spot = (np.concatenate(spot) if spot else np.zeros(0, np.int64))[order]
         self.lengths = np.array([len(c) for c in self.codes], np.int64)
+        self.shift = 1 << int(self.lengths.max(initial=1)).bit_length()  # keeps diagonals positive
         self.bound = self.lengths + 1 - q - self.budget * q
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
 
-def align(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    """(distance, start, stop) of the item's best occurrence in the region, None if over the budget."""
-    n = len(region)
-    places = np.arange(n + 1)
-    cost, start = np.zeros(n + 1, np.int64), places.copy()
+def align(item: np.ndarray, region: np.ndarray, budget: int, first: int, width: int) -> tuple[int, int, int] | None:
+    """(distance, start, stop) of the item's best occurrence in the region, None if over the budget.
+
+    Only the diagonals from ``first`` to ``first + width`` are filled; a place of the
+    band stands for the column (row + first + place) of the region.
+    """
+    m, n, never = len(item), len(region), len(item) + budget + 1
+    places = np.arange(width + 1)
+    column = places + first
+    line = np.zeros(m + width + 1, region.dtype)  # 0 differs from every code of an item
+    a, b = max(-first, 0), min(len(line), n - first)
+    if a < b:
+        line[a:b] = region[first + a : first + b]
+    cost, start = np.where((column >= 0) & (column <= n), 0, never), column
     for i, code in enumerate(item, 1):
-        swap = np.append(i, cost[:-1] + (region != code))
-        drop = cost + 1
+        swap = cost + (line[i - 1 : i + width] != code)
+        drop = np.append(cost[1:] + 1, never)
         take = swap <= drop
         step = np.where(take, swap, drop)
-        origin = np.where(take, np.append(0, start[:-1]), start)
+        origin = np.where(take, start, np.append(start[1:], 0))
         slack = step - places
         best = np.minimum.accumulate(slack)
         cost = best + places
-        lead = np.maximum.accumulate(np.where(slack == best, places, 0))
-        start = origin[lead]
+        cost[max(n - first - i + 1, 0) :] = never
+        start = origin[np.maximum.accumulate(np.where(slack == best, places, 0))]
         if cost.min() > budget:
             return None
     stop = int(cost.argmin())
-    return (int(cost[stop]), int(start[stop]), stop) if cost[stop] <= budget else None
+    return (int(cost[stop]), int(start[stop]), stop + first + m) if cost[stop] <= budget else None
 
 
 def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
@@ -157,7 +167,7 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
         return []
     n = index.count[slot]
     at = np.repeat(index.first[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    item, diagonal = index.owner[at], np.repeat(hit, n) - index.spot[at] + (1 << 20)
+    item, diagonal = index.owner[at], np.repeat(hit, n) - index.spot[at] + index.shift
     width = index.budget[item] + 1
     keys, counts = np.unique((item << 40) | (diagonal // width), return_counts=True)
     follows = np.append(np.where(np.diff(keys) == 1, counts[1:], 0), 0)
@@ -170,14 +180,14 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
     for k in np.flatnonzero(np.maximum(counts + follows, counts + leads) >= index.bound[owner]):
         i = int(owner[k])
         budget, m, w = int(index.budget[i]), int(index.lengths[i]), int(index.budget[i]) + 1
-        lo = (int(keys[k]) & ((1 << 40) - 1)) * w - (1 << 20) - w - budget
+        lo = (int(keys[k]) & ((1 << 40) - 1)) * w - index.shift - w - budget
         hi = lo + 3 * w + 2 * budget + m
         doc = int(np.searchsorted(ends, max(min((lo + hi) // 2, len(codes) - 1), 0)))
         for d in {doc, max(doc - 1, 0), min(doc + 1, len(texts) - 1)}:
             a, b = max(lo, int(starts[d])), min(hi, int(ends[d]))
             if b - a < m - budget:
                 continue
-            found = align(index.codes[i], codes[a:b], budget)
+            found = align(index.codes[i], codes[a:b], budget, lo - a, 3 * w + 2 * budget)
             if found:
                 out.setdefault((d, i), []).append((a + found[1], a + found[2], found[0]))
     rows = []
