@@ -12,7 +12,8 @@ bounded and the same however the tables are laid out. Only text is an input.
 
 Defined cases: null and empty texts are one chunk of padding and get its score; rows
 without a label are scored like others; a label table without usable rows gives the
-score 0.5; repeated rows get equal scores; extra columns are ignored.
+score 0.5; repeated rows get equal scores, and rows that share an id train with the
+least of their texts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.where(labels[label_col].isNotNull() & key.isNotNull() & ~held_out(key)).select(key.alias("doc_id"), labels[label_col].cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_spread_chunks, "doc_id long, label int, chunk binary").toArrow()
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    rows = one.mapInArrow(_spread_chunks, "doc_id long, label int, chunk binary").toArrow()
     if rows.num_rows == 0:
         return None
     chunks = np.frombuffer(b"".join(rows.column("chunk").to_pylist()), np.uint8).reshape(-1, CHUNK)
