@@ -15,8 +15,10 @@ is left out; repeated rows get equal spans; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -106,9 +108,11 @@ def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
     if not text:
         return []
     spans = base_spans(text)
-    covered = [(a, b) for a, b, _ in spans]
+    by_start = sorted(spans)
+    starts, reach = [a for a, _, _ in by_start], [0, *accumulate((b for _, b, _ in by_start), max)]
     for m in _RUN.finditer(text):
-        if _LETTER.search(m[0]) and all(m.end() <= a or m.start() >= b for a, b in covered) and randomness(m[0]) >= threshold:
+        touches = reach[bisect_left(starts, m.end())] > m.start()
+        if not touches and _LETTER.search(m[0]) and randomness(m[0]) >= threshold:
             spans.append((m.start(), m.end(), 3))
     return sorted(spans, key=lambda s: (s[0], s[2]))
 
