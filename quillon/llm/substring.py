@@ -169,7 +169,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     settled = live.where("not mixed").select("doc_id", "th", "first", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     checked = live.where("mixed").join(masks, "digest").select("doc_id", "th", "first", "mask")
-    marks = scratch.write("marks", settled.unionByName(checked).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "mask")).alias("marks")))
+    marks = scratch.write("marks", settled.unionByName(checked).groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "mask")).alias("marks")))
     scratch.drop("windows", "live", "masks")
 
     joined = texts.alias("t").join(marks.alias("m"), F.expr("t.doc_id <=> m.doc_id and t.th = m.th"), "left")
