@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon import fixtures as X
 from quillon.functions import scalars as S
-from quillon.operators import cluster, draws, labels, metrics, selection, temporal
+from quillon.operators import cluster, draws, labels, metrics, regions, selection, temporal
 from quillon.operators.spatial import argbest
 
 
@@ -114,6 +114,41 @@ def positive_rate(spark, d):
     return pixels(spark, d).groupBy("image").agg(F.round(F.count_if(F.col("gt") > 0) / (F.count("*") + F.lit(1e-6)), 6).alias("pos_rate"))
 
 
+def _region_sql(steps):
+    return f"""with recursive {_P}, t as (select image, r, c, r*1000000+c as k from px where gt > 0), e as (select a.image, a.k as u, b.k as v from t a join t b on a.image = b.image and abs(a.r-b.r) <= 1 and abs(a.c-b.c) <= 1 and abs(a.r-b.r)+abs(a.c-b.c) between 1 and {steps}),
+ reach(image, u, v) as (select image, k, k from t union select q.image, q.u, e.v from reach q join e on q.image = e.image and q.v = e.u), g as (select image, u, min(v) as root from reach group by 1, 2),
+ n as (select image, u, cast(dense_rank() over (partition by image order by root) as bigint) as label from g)
+ select n.image, label, count(*) as area, round(avg(r),6) as cr, round(avg(c),6) as cc, min(r) as r0, max(r)+1 as r1, min(c) as c0, max(c)+1 as c1 from n join t on n.image = t.image and n.u = t.k group by 1, 2"""
+
+
+def _regions(spark, d, diagonal):
+    found = regions.region_table(regions.label_regions(_masks(spark, d)[0], diagonal))
+    return found.select("image", "label", "area", *r6("cr", "cc"), "r0", "r1", "c0", "c1")
+
+
+@plan(_region_sql(2))
+def regions_eight(spark, d):
+    """R1, R3."""
+    return _regions(spark, d, True)
+
+
+@plan(_region_sql(1))
+def regions_four(spark, d):
+    """R2, R3."""
+    return _regions(spark, d, False)
+
+
+_GROW = "{n} as (select p.image, p.r, p.c from (select distinct image, r, c from px) p where exists (select 1 from {m} a where a.image = p.image and abs(a.r-p.r)+abs(a.c-p.c) <= 1))"
+_WEAR = "{n} as (select p.image, p.r, p.c from (select distinct image, r, c from px) p where not exists (select 1 from px q where q.image = p.image and abs(q.r-p.r)+abs(q.c-p.c) <= 1 and not exists (select 1 from {m} a where a.image = q.image and a.r = q.r and a.c = q.c)))"
+
+
+@plan(f"with {_P}, m0 as (select image, r, c from px where prob >= 0.5), {_GROW.format(n='m1', m='m0')}, {_WEAR.format(n='m2', m='m1')}, {_WEAR.format(n='m3', m='m2')}, {_GROW.format(n='m4', m='m3')} select image, r, c from m4")
+def smoothed_mask(spark, d):
+    """R4."""
+    sizes = pixels(spark, d).groupBy("image").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"))
+    return regions.smooth(_masks(spark, d)[1], sizes)
+
+
 @plan(f"with {_P}, e as (select b1, image, quantile_cont(b1,0.02) over (partition by image) as lo, quantile_cont(b1,0.98) over (partition by image) as hi, r, c from px) select image, r, c, round(least(greatest((b1-lo)/(hi-lo),0),1),6) as b1 from e")
 def percentile_stretch(spark, d):
     """R18."""
