@@ -1,4 +1,4 @@
-"""Regions of set pixels (R1, R2, R4 and the sums of R3): a mask is a table (image, r, c)."""
+"""Regions of set pixels (R1, R2, R4 and the sums of R3) and merged boxes (C9): a mask is a table (image, r, c)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.operators.graph import connected_components
 from quillon.operators.metrics import EIGHT, FOUR, neighbours
+from quillon.operators.spatial import overlap_pairs
+from quillon.scratch import Scratch
 
 _PLACE = ["image", "r", "c"]
 
@@ -49,3 +51,23 @@ def smooth(mask: DataFrame, sizes: DataFrame) -> DataFrame:
     for erode in (False, True, True, False):
         out = step(out, erode)
     return out
+
+
+def merge_boxes(boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """(*keys, id, x0, y0, x1, y1, n): boxes that share area become their common bounds, until none do.
+
+    ``id`` is the least id of the merged boxes and ``n`` their number. Each round merges
+    whole components of the overlap graph; only the question whether one is left reaches the driver.
+    """
+    scratch, turn = Scratch(boxes.sparkSession, "boxes"), 0
+    now = boxes.select(*keys, "id", "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("n"))
+    while True:
+        sized = now.withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+        pairs = scratch.write(f"pairs{turn}", overlap_pairs(sized, sized, keys, cell).where("id < r_id").select(*keys, "id", "r_id"))
+        if pairs.isEmpty():
+            return now
+        roots = connected_components(pairs, "id", "r_id", keys)
+        joined = now.join(roots, [*keys, "id"], "left").withColumn("id", F.coalesce("root", "id"))
+        bounds = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+        now = scratch.write(f"merged{turn}", joined.groupBy(*keys, "id").agg(*bounds, F.sum("n").alias("n")))
+        turn += 1

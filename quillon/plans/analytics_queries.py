@@ -142,6 +142,14 @@ _GROW = "{n} as (select p.image, p.r, p.c from (select distinct image, r, c from
 _WEAR = "{n} as (select p.image, p.r, p.c from (select distinct image, r, c from px) p where not exists (select 1 from px q where q.image = p.image and abs(q.r-p.r)+abs(q.c-p.c) <= 1 and not exists (select 1 from {m} a where a.image = q.image and a.r = q.r and a.c = q.c)))"
 
 
+@plan(None)
+def merged_boxes(spark, d):
+    """C9, over boxes padded by a quarter of a metre."""
+    b = X.project(spark, d, X.TRUTH)
+    padded = b.select("image", F.col("gt_id").alias("id"), *((F.col(c) - 0.25).alias(c) for c in ("x0", "y0")), *((F.col(c) + 0.25).alias(c) for c in ("x1", "y1")))
+    return regions.merge_boxes(padded, ["image"], 2.0).select("image", "id", *r6("x0", "y0", "x1", "y1"), "n")
+
+
 @plan(f"with {_P}, m0 as (select image, r, c from px where prob >= 0.5), {_GROW.format(n='m1', m='m0')}, {_WEAR.format(n='m2', m='m1')}, {_WEAR.format(n='m3', m='m2')}, {_GROW.format(n='m4', m='m3')} select image, r, c from m4")
 def smoothed_mask(spark, d):
     """R4."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
-from quillon.operators import cluster, labels, matching, metrics, temporal
+from quillon.operators import cluster, labels, matching, metrics, regions, temporal
 from quillon.operators.graph import connected_components
 from quillon.schemas import assert_schema, optional_col
 
@@ -114,3 +114,13 @@ def test_schema_checks(spark):
     with pytest.raises(ValueError, match="area"):
         assert_schema(df, ["id", "area"])
     assert df.select(optional_col(df, "area", "double")).dtypes == [("area", "double")]
+
+
+def test_merged_boxes(spark):
+    """Bounds grow until nothing overlaps; shared edges are no overlap."""
+    rows = [(0, i, float(x), float(y), float(x + w), float(y + h)) for i, x, y, w, h in [(1, 0, 0, 2, 2), (2, 1, 1, 3, 1), (3, 0.5, 2.5, 1, 1), (4, 3, 0.2, 0.5, 0.5), (5, 4, 0, 2, 2), (6, 9, 9, 1, 1), (7, 9, 9, 1, 1), (8, 1, 1.9, 0.2, 1)]]
+    rows += [(1, 1, 0.0, 0.0, 1.0, 1.0)]
+    boxes = spark.createDataFrame(rows, "image long, id long, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.image, r.id): (r.x0, r.y0, r.x1, r.y1, r.n) for r in regions.merge_boxes(boxes, ["image"], 1.0).collect()}
+    assert got == {(0, 1): (0, 0, 4, 3.5, 5), (0, 5): (4, 0, 6, 2, 1), (0, 6): (9, 9, 10, 10, 2), (1, 1): (0, 0, 1, 1, 1)}
+    assert regions.merge_boxes(boxes.limit(0), ["image"], 1.0).count() == 0
