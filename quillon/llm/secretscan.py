@@ -1,11 +1,14 @@
 """Operator 7: secret scans with character Markov models.
 
 Base spans come from three patterns; their spans are whole matches. The method adds
-spans of kind ``markov``: token-like runs (16 to 512 characters of A-Z a-z 0-9 + / _ -
-with at least one digit and one letter) whose log-likelihood ratio between a
-character bigram model of random strings and one of ordinary identifiers is high.
+spans of kind ``markov``: token-like runs (16 characters or more of A-Z a-z 0-9 + / _ -
+with at least one letter) whose log-likelihood ratio between a character bigram model
+of random strings and one of ordinary identifiers is high. A run of more than 512
+characters is scored by overlapping windows and is a span, whole, when one of them is.
 Both models are trained from labelled samples: random strings drawn from the usual
-secret alphabets with a fixed seed, and the identifiers listed below.
+secret alphabets with a fixed seed, and the identifiers listed below. Runs without a
+digit have models of their own, from alphabets without digits and from the identifiers
+in both cases, ordinary long words, repeated characters and alphabet or keyboard order.
 
 Defined cases: null and empty texts have no spans; spans count code points, end
 exclusive, ordered by start and then kind; a ``markov`` run that touches a base span
@@ -33,8 +36,10 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _WORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,512}(?![A-Za-z0-9+/_-])")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+")
 _LETTER = re.compile(r"[A-Za-z]")
+_DIGIT = re.compile(r"[0-9]")
+WINDOW = 512
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Labelled samples of ordinary identifiers.
@@ -51,6 +56,14 @@ IDENTIFIERS = (
     "sternberg-und-hauptstrasse-12 rechtsschutzversicherung2 responsabilidades internacionalmente developpement-durable-2030 "
     "page12345 item_998877 order-20240517 invoice_000123456 id-1234567890123456 2024-05-17_12-30-00 20240517123000 0000000000000001"
 ).split()
+#: Labelled samples of ordinary long words, for runs without a digit.
+WORDS = (
+    "Geschwindigkeitsbegrenzung Verantwortlichkeit Empfangsbescheinigung Wahrscheinlichkeitsrechnung Krankenversicherungspflicht "
+    "Aufmerksamkeitsdefizit Zusammenarbeitsvereinbarung Beschaeftigungsmoeglichkeiten Wissenschaftlichkeit Unabhaengigkeitserklaerung "
+    "institutionnellement gouvernementaux particulierement renouvellements quotidiennement malheureusement representationnelle "
+    "desafortunadamente caracteristicamente constitucionalidad aprovechamientos extraordinariamente reconocimientos "
+    "notwithstanding characteristically misunderstandings acknowledgements thoughtfulness nevertheless telecommunications"
+).split()
 THRESHOLD = 0.55
 
 
@@ -77,12 +90,17 @@ def _bigrams(texts: list[str]) -> np.ndarray:
     return counts
 
 
-@lru_cache(maxsize=1)
-def ratios() -> np.ndarray:
+@lru_cache(maxsize=2)
+def ratios(digits: bool = True) -> np.ndarray:
     """log P(random) - log P(ordinary) of each character after each character (last row: at the start)."""
     rng = np.random.Generator(np.random.PCG64(29))
-    random = []
-    for letters in (ALPHABET[:62], ALPHABET[:62], ALPHABET, ALPHABET[:26] + ALPHABET[52:62], ALPHABET[26:62], ALPHABET[52:62] + "abcdef"):
+    random, ordinary = [], list(IDENTIFIERS)
+    alphabets = (ALPHABET[:62], ALPHABET[:62], ALPHABET, ALPHABET[:26] + ALPHABET[52:62], ALPHABET[26:62], ALPHABET[52:62] + "abcdef")
+    if not digits:
+        alphabets = (ALPHABET[:52], ALPHABET[:52], ALPHABET[:52] + ALPHABET[62:], ALPHABET[:26], ALPHABET[26:52])
+        ordinary += WORDS + [ALPHABET[26:52], "qwertyuiopasdfghjklzxcvbnm"] * 4
+        ordinary += [t.upper() for t in ordinary] + [c * 4 for c in ALPHABET]
+    for letters in alphabets:
         random += ["".join(letters[i] for i in rng.integers(0, len(letters), 40)) for _ in range(300)]
     n = len(ALPHABET)
 
@@ -90,17 +108,25 @@ def ratios() -> np.ndarray:
         unigram = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * n)
         return np.log((counts + 6 * unigram) / (counts.sum(axis=1, keepdims=True) + 6))
 
-    return log_model(_bigrams(random)) - log_model(_bigrams(list(IDENTIFIERS)))
+    return log_model(_bigrams(random)) - log_model(_bigrams(ordinary))
 
 
-_PLACE = {ord(c): i for i, c in enumerate(ALPHABET)}
+_PLACE = np.zeros(128, np.int64)
+_PLACE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 
 
-def randomness(run: str) -> float:
+def randomness(run: str, digits: bool = True) -> float:
     """Mean log-likelihood ratio of a run's characters."""
-    code = np.fromiter((_PLACE[ord(c)] for c in run), np.int64, len(run))
+    code = _PLACE[np.frombuffer(run.encode("ascii"), np.uint8)]
     before = np.append(len(ALPHABET), code[:-1])
-    return float(ratios()[before, code].mean())
+    return float(ratios(digits)[before, code].mean())
+
+
+def is_random(run: str, threshold: float = THRESHOLD) -> bool:
+    """Whether a run, or a window of a long one, is likelier random than ordinary."""
+    starts = [*range(0, len(run) - WINDOW, WINDOW // 2), max(len(run) - WINDOW, 0)]
+    windows = (run[a : a + WINDOW] for a in starts)
+    return any(_LETTER.search(w) and randomness(w, bool(_DIGIT.search(w))) >= threshold for w in windows)
 
 
 def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
@@ -112,7 +138,7 @@ def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
     starts, reach = [a for a, _, _ in by_start], [0, *accumulate((b for _, b, _ in by_start), max)]
     for m in _RUN.finditer(text):
         touches = reach[bisect_left(starts, m.end())] > m.start()
-        if not touches and _LETTER.search(m[0]) and randomness(m[0]) >= threshold:
+        if not touches and is_random(m[0], threshold):
             spans.append((m.start(), m.end(), 3))
     return sorted(spans, key=lambda s: (s[0], s[2]))
 

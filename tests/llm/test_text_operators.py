@@ -191,6 +191,18 @@ def test_secrets(spark, docs):
     assert "Zx9Kq2" not in clean.first().text and clean.columns == docs.columns
 
 
+def test_secrets_long_and_letters():
+    rng = np.random.Generator(np.random.PCG64(5))
+    letters = np.array(list(secretscan.ALPHABET))
+    keys = ["".join(letters[rng.integers(0, 62, n)]) for n in (511, 512, 513, 900, 5000)]
+    keys += ["qWzRtYpLmKxVbNcDfGhJ", "QZXWVKJPTHBGNRLM", "xqzjvkwpfhtbgmrd", "path/to/file_1-" * 60 + keys[1] + "/path/to/file" * 60]
+    for key in keys:
+        assert secretscan.find_spans(f"a {key} b") == [(2, 2 + len(key), 3)], key
+    plain = ["internationalization", "MAX_CONNECTION_RETRY_COUNT", "AbstractSingletonProxyFactoryBean", "x" * 40, "-" * 900, "src/main/java/com/example/" * 40]
+    plain += ["Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement"]
+    assert [p for p in plain if secretscan.find_spans(p)] == []
+
+
 def brute_sets(rows):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     out = {}
