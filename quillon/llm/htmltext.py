@@ -1,13 +1,19 @@
 """Operator 10: main text of web pages by site template removal.
 
-Each page is parsed once into blocks of text. Subtrees that name themselves as
-something else than the article (by tag, role or class) are left out; the element
-subtrees that remain are hashed and counted per host in Spark, and those that recur
-on at least half of a host's pages (and on ``min_pages`` of them) are deleted.
+Each page is parsed once into blocks of text. Where a page has an ``article`` or
+``main`` element, blocks outside of it are left out, and so are subtrees that name
+themselves as something else (by tag, role or class). The element subtrees that remain,
+in articles too, are hashed and counted per host in Spark, and template parts deleted:
 
-Inside ``article`` or ``main`` only containers (div, section and the like) can be
-template parts: headings, paragraphs, lists and tables of an article stay however
-often the article is copied, and an article is never deleted whole.
+* by pages: subtrees outside articles, and containers (div, section and the like) in
+  them, that are on at least half of a host's pages and on ``min_pages`` of them;
+* by contexts: any subtree but a table cell or a term that stands in as many contexts,
+  or in ``most`` of them on a host of more pages. A context is a min-hash of the text
+  around the subtree: exact copies of an article have one, near copies few, so a copied
+  article is no template. The best of ``SEEDS`` hashes counts, as other template parts
+  can hold the least one; they must number a third of the different texts at least.
+
+A page is never deleted whole.
 
 Defined cases: null or empty html gives empty text; pages without an article or main
 element use the whole body; null urls share the empty host; repeated rows and equal
@@ -21,6 +27,7 @@ import html
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quillon.scratch import Scratch
 from quillon.llm.session import bound_batches
-from quillon.llm.textkernel import slices
+from quillon.llm.textkernel import CODES, Words, mix, sequence_hashes, slices
 from quillon.llm.urls import host_of
 
 # Element names of HTML, and names that sites give to parts around an article.
@@ -48,11 +55,14 @@ BLOCKS = set(
 CLOSES_P = BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "legend", "option", "optgroup"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+CELLS = {"td", "th", "dt", "dd"}
 CONTAINERS = {"div", "section", "figure", "details", "fieldset", "address", "center", "header", "hgroup"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPLIT = re.compile(r"[\s_\-:]+")
+SEEDS = 3
+WIDTH = 5
 
 
 def _names_other(tag: str, attrs: str, inside: bool) -> bool:
@@ -72,10 +82,10 @@ def _names_other(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """Blocks of the main text, and the deletable subtrees as (hash, first block, past the last)."""
+def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, bool, bool]]]:
+    """Blocks of the main text, and the deletable subtrees as (hash, first block, past the last, by pages, by contexts)."""
     blocks: list[tuple[str, bool]] = []
-    subtrees: list[tuple[int, int, int, bool]] = []
+    subtrees: list[tuple[int, int, int, bool, str]] = []
     stack: list[tuple[str, bool, bool, int, int]] = []  # tag, dropped, inside an article, source position, first block
     buffer: list[str] = []
     main = False
@@ -93,8 +103,8 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
         if tag in BLOCKS:
             flush()
         stack.pop()
-        if tag in BLOCKS and not dropped and len(blocks) > first and (not inside or tag in CONTAINERS):
-            subtrees.append((xxhash.xxh64_intdigest(" ".join(page[source:end].split())) - (1 << 63), first, len(blocks), inside))
+        if tag in BLOCKS and not dropped and len(blocks) > first and tag not in ("article", "main") and not (inside and tag in CELLS):
+            subtrees.append((xxhash.xxh64_intdigest(" ".join(page[source:end].split())) - (1 << 63), first, len(blocks), inside, tag))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -146,44 +156,89 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
     while stack:
         pop(n)
     flush()
-    if any(inside for _, inside in blocks):
+    new = list(range(len(blocks) + 1))
+    article = any(inside for _, inside in blocks)
+    if article:
         new = [0]
         for _, inside in blocks:
             new.append(new[-1] + inside)
-        return [t for t, inside in blocks if inside], [(h, new[a], new[b]) for h, a, b, inside in subtrees if inside]
-    return [t for t, _ in blocks], [(h, a, b) for h, a, b, _ in subtrees if a > 0 or b < len(blocks)]
+    kept = [t for t, inside in blocks if inside or not article]
+    parts = [(h, new[a], new[b], not article or tag in CONTAINERS, tag not in CELLS) for h, a, b, inside, tag in subtrees if inside or not article]
+    return kept, [x for x in parts if x[1] > 0 or x[2] < len(kept)]
+
+
+def _least(blocks: list[str]) -> np.ndarray:
+    """Min-hashes (a row a seed) of each block's word windows; of all its words where it has fewer."""
+    words = Words(pa.array(blocks, pa.string()))
+    prefix, bounds = words.sequence_prefix(), words.rows
+    first = np.arange(len(words.hashes))
+    past = np.minimum(first + WIDTH, np.repeat(bounds[1:], words.counts()))
+    begin = np.repeat(bounds[:-1], words.counts())
+    whole = (past - first == WIDTH) | (first == begin)
+    hashes = sequence_hashes(prefix, first, past)
+    out = np.full((SEEDS, len(blocks)), np.uint64(2**64 - 1))
+    some = np.flatnonzero(words.counts())
+    for seed in range(SEEDS if len(some) else 0):
+        mixed = np.where(whole, mix(hashes ^ np.uint64(CODES[seed])), np.uint64(2**64 - 1))
+        out[seed, some] = np.minimum.reduceat(mixed, bounds[:-1][some])
+    return out
+
+
+_PART = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("past", pa.int32()), ("pages", pa.bool_()), ("contexts", pa.bool_()), ("once", pa.bool_()), ("around", pa.list_(pa.int32()))])
+
+
+def _parts(parts: list[tuple[int, int, int, bool, bool]], least: np.ndarray) -> list[dict]:
+    """Subtrees of a page with their contexts; ``once`` is true of the first of equal ones."""
+    edge = np.full((SEEDS, 1), np.uint64(2**64 - 1))
+    before = np.hstack([edge, np.minimum.accumulate(least, axis=1)])
+    after = np.hstack([np.minimum.accumulate(least[:, ::-1], axis=1)[:, ::-1], edge])
+    around = np.minimum(before[:, [x[1] for x in parts]], after[:, [x[2] for x in parts]])
+    around = mix(around).astype(np.uint32).view(np.int32).T.tolist()
+    out, seen = [], set()
+    for (h, a, b, pages, contexts), c in zip(parts, around):
+        out.append({"hash": h, "first": a, "past": b, "pages": pages, "contexts": contexts, "once": h not in seen, "around": c})
+        seen.add(h)
+    return out
 
 
 def _parse_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("past", pa.int32())]))
     for part in slices(batches, "html", 4 << 20):
         found = [parse(x) if x else ([], []) for x in part.column("html").to_pylist()]
-        parts = [[{"hash": h, "first": a, "past": b} for h, a, b in t] for _, t in found]
+        least = _least([t for b, _ in found for t in b])
+        ends = np.cumsum([len(b) for b, _ in found])
+        parts = [_parts(p, least[:, e - len(b) : e]) if p else [] for (b, p), e in zip(found, ends)]
+        texts = [xxhash.xxh64_intdigest("\n".join(b)) - (1 << 63) for b, _ in found]
         yield pa.RecordBatch.from_arrays(
-            [part.column("page_id"), part.column("url"), part.column("host"), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array(parts, kind)],
-            ["page_id", "url", "host", "blocks", "parts"],
+            [part.column("page_id"), part.column("url"), part.column("host"), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array(texts, pa.int64()), pa.array(parts, pa.list_(_PART))],
+            ["page_id", "url", "host", "blocks", "whole", "parts"],
         )
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 3, share: float = 0.5) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 3, share: float = 0.5, most: int = 20) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
     bound_batches(pages)
     scratch = Scratch(pages.sparkSession, "htmltext")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), host_of(pages[url_col]).alias("host"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
-    schema = "page_id long, url string, host string, blocks array<string>, parts array<struct<hash:bigint,first:int,past:int>>"
+    part = "hash:bigint,first:int,past:int,pages:boolean,contexts:boolean,once:boolean,around:array<int>"
+    schema = f"page_id long, url string, host string, blocks array<string>, whole long, parts array<struct<{part}>>"
     parsed = scratch.write("parsed", rows.mapInArrow(_parse_batches, schema).withColumn("row", F.monotonically_increasing_id()))
-    parts = parsed.select("row", "host", F.explode("parts").alias("p")).select("row", "host", "p.*")
-    hosts = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = parts.groupBy("host", "hash", "row").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    common = seen.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= F.col("pages") * share).select("host", "hash")
-    ranges = parts.join(common.hint("shuffle_hash"), ["host", "hash"]).groupBy("row").agg(F.collect_set(F.struct("first", "past")).alias("ranges"))
-    some = F.size("parts") > 0
-    joined = parsed.where(some).drop("parts").join(ranges, "row", "left")
+    parts = parsed.select("row", "host", "whole", F.explode("parts").alias("p")).select("row", "host", "whole", "p.*")
+    hosts = parsed.groupBy("host").agg(F.count("*").alias("n"))
+    hosts = hosts.select("host", F.greatest(F.lit(min_pages), F.col("n") * share).alias("half"), F.greatest(F.lit(min_pages), F.least(F.lit(most), F.col("n") * share)).alias("few"))
+    seen = parts.where("once").groupBy("host", "hash").agg(F.count_if("pages").alias("n_pages"), F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    often = seen.join(hosts, "host").where(F.col("n") >= F.col("few")).select("host", "hash", "few", (F.col("n_pages") >= F.col("half")).alias("common"))
+    found = scratch.write("often", parts.join(often.hint("shuffle_hash"), ["host", "hash"]))
+    contexts = [F.count_distinct(F.when(F.col("contexts"), F.col("around")[i])) for i in range(SEEDS)]
+    counts = found.groupBy("host", "hash", "few").agg(F.greatest(*contexts).alias("n"), F.count_distinct("whole").alias("texts"))
+    spread = counts.where((F.col("n") >= F.col("few")) & (F.col("n") * 3 >= F.col("texts"))).select("host", "hash", F.lit(True).alias("spread"))
+    chosen = found.join(spread.hint("shuffle_hash"), ["host", "hash"], "left").where((F.col("common") & F.col("pages")) | (F.col("spread") & F.col("contexts")))
+    ranges = scratch.write("ranges", chosen.groupBy("row").agg(F.collect_set(F.struct("first", "past")).alias("ranges")))
+    del parts, hosts, seen, often, found, counts, spread, chosen
+    scratch.drop("often")  # and the shuffle files so far, before the texts are shuffled
+    joined = parsed.select("row", "page_id", "url", "blocks").join(ranges, "row", "left")
     left = F.expr("filter(blocks, (t, i) -> not exists(ranges, r -> i >= r.first and i < r.past))")
     kept = F.when(F.col("ranges").isNull(), F.col("blocks")).otherwise(F.when(F.size(left) > 0, left).otherwise(F.col("blocks")))
-    whole = parsed.where(~some).select("page_id", "url", F.col("blocks").alias("kept"))
-    texts = joined.select("page_id", "url", kept.alias("kept")).unionByName(whole)
-    return texts.select("page_id", "url", F.array_join("kept", "\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return joined.select("page_id", "url", F.array_join(kept, "\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op10_htmltext(spark, sf_dir: str) -> DataFrame:

@@ -292,6 +292,33 @@ def test_html(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_html_template_parts_in_articles(spark):
+    rng = np.random.Generator(np.random.PCG64(3))
+    prose = lambda: " ".join(f"w{i}" for i in rng.integers(0, 10**6, 60))
+    page = lambda *p: "<body><article><h1>{}</h1>{}</article></body>".format(p[0], "".join(x if x[0] == "<" else f"<p>{x}" for x in p[1:]))
+    notes = ["Tell your friends about our weekly letter", "<ul><li>About us<li>Write to us</ul>", "<table><tr><td>Yes<td>No</table>"]
+    rows, want = [], {}
+
+    def add(host, html, text):
+        rows.append((len(rows), f"http://{host}.example/{len(rows)}", html))
+        want[len(rows) - 1] = text
+
+    for _ in range(6):  # different articles, the same notes one after the other
+        a, b = prose(), prose()
+        add("a", page(a[:20], a, notes[0], b, *notes[1:]), f"{a[:20]}\n{a}\n{b}")
+    body = [prose() for _ in range(8)]
+    for n in range(60):  # exact and near copies of one article
+        copy = [x + f" edit{n}" if n % 2 and i == n % 8 else x for i, x in enumerate(body)]
+        add("b", page("One title", *copy), "\n".join(["One title", *copy]))
+    for n in range(100):  # a section of a large host without articles
+        a, note = prose(), "<div>Our section of news</div>" * (n < 40)
+        add("c", f"<body>{note}<p>{a}</p></body>", a)
+    for n in range(40):  # copies in a page without an article
+        add("c", f"<body><h1>Again</h1><p>{body[0]}</p><p>{body[1]}</p></body>", f"Again\n{body[0]}\n{body[1]}")
+    got = htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 
