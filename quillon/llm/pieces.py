@@ -346,12 +346,12 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
 
 
 def digests(docs: DataFrame, model: bytes) -> DataFrame:
-    """(doc_id, n_tokens, ids_hash, decoded_sha256, exact): what the ids are and decode to."""
+    """(doc_id, n_tokens, ids, ids_hash, decoded_sha256, exact): the ids, and what they decode to."""
     coded = encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model)
     brief = coded.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "ids")
     back = decode(brief, model)
-    done = back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), "text_sha256")
-    return done.select("doc_id", "n_tokens", "ids_hash", "decoded_sha256", (F.col("decoded_sha256") == F.col("text_sha256")).alias("exact"))
+    done = back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), "text_sha256")
+    return done.select("doc_id", "n_tokens", "ids", "ids_hash", "decoded_sha256", (F.col("decoded_sha256") == F.col("text_sha256")).alias("exact"))
 
 
 def op1_pieces(spark, sf_dir: str, model_path: str = MODEL) -> DataFrame:

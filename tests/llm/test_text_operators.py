@@ -47,6 +47,20 @@ def test_pieces_rows(spark, docs):
         pieces.Model(model).decode(np.array([40000]), np.array([0, 1]))
 
 
+def test_pieces_query_returns_ids(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = pieces.Model(pieces.read_model())
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    for rows in (pieces.op1_pieces(spark, d).collect(), corpus_pipeline.tokens(spark, docs, d).collect()):
+        assert {r.doc_id for r in rows} == set(text)
+        for r in rows:
+            assert r.n_tokens == len(r.ids) and r.exact
+            assert model.decode(np.array(r.ids, np.int32), np.array([0, len(r.ids)])) == [text[r.doc_id]]
+
+
 def test_media(spark, docs):
     got = {r.doc_id: r for r in media.image_features(media.store_images(docs)).collect()}
     for i, text in EDGE:
