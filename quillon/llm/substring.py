@@ -1,7 +1,8 @@
-"""Operator 9: substring deduplication by relative Lempel-Ziv factors.
+"""Operator 9: substring deduplication by minimizer segments and window counts.
 
-Every text is parsed greedily from left to right into factors. A factor is the
-longest run of consecutive ``window``-word windows that share one anchor (the
+This stands in place of relative Lempel-Ziv factoring: no reference text is read and
+no match is extended. Every text is cut into factors, its minimizer segments: a factor
+is the longest run of consecutive ``window``-word windows that share one anchor (the
 word q-gram of least hash inside the window, the leftmost on ties). Equal windows
 have equal anchors, so the anchor names the one reference block, out of all
 blocks of the corpus, in which an equal window can occur: looking a factor up in
