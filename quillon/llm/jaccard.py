@@ -10,8 +10,9 @@ set, so a set whose partners may reach the next level is signed for both.
 
 Enumerating ``GROUPS`` groups bounds a text's signatures at 84 a level whatever its
 length. A pair at exactly the threshold then shares ``SPARE`` signatures or fewer with
-probability 2e-13 where k / 2**j is 0.9 and 1.7e-9 at a level's end, 1.2; pairs above
-the threshold far less often. Sets of 67 shingles or fewer sign each shingle (every
+probability 1.4e-9 where k / 2**j is 0.9 and 4.6e-8 at a level's end, 1.2 (Poisson
+counts in the parts; two empty parts give no signature); pairs above the threshold far
+less often. Sets of 67 shingles or fewer sign each shingle (every
 part is one element), which never misses.
 
 Equal sets are merged first. Similar sets share many signatures, so each set leaves
