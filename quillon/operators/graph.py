@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.scratch import Scratch
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", scope: list[str] | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", scope: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(*scope, id, root) for every node with an edge; root is the component's least id.
 
     Undirected. Each round takes the least label among a node and its neighbours and
@@ -16,22 +16,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
     logarithm of the component's diameter in practice. Labels are written between
     rounds: no lineage grows and no link or label reaches the driver, only a count.
     Nodes of degree zero are the caller's: left-join and coalesce to the own id.
+    The rounds run when the function is called. Only the table of the result stays, in
+    ``scratch`` where the caller has one.
     """
     scope = scope or []
-    scratch = Scratch(edges.sparkSession, "components")
+    own = Scratch(edges.sparkSession, "components", scratch)
     one = edges.select(*scope, F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    both = scratch.write("edges", one.unionByName(one.select(*scope, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = scratch.write("labels0", both.groupBy(*scope, "u").agg(F.least(F.min("v"), F.first("u")).alias("root")).withColumnRenamed("u", "id"))
+    both = own.write("edges", one.unionByName(one.select(*scope, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = own.write("labels0", both.groupBy(*scope, "u").agg(F.least(F.min("v"), F.first("u")).alias("root")).withColumnRenamed("u", "id"))
     turn = 0
     while True:
-        near = both.join(labels.withColumnsRenamed({"id": "v", "root": "r"}), [*scope, "v"]).groupBy(*scope, "u").agg(F.min("r").alias("near")).withColumnRenamed("u", "id")
+        heads = labels.withColumnsRenamed({"id": "v", "root": "r"})
+        near = both.join(heads, [*scope, "v"]).groupBy(*scope, "u").agg(F.min("r").alias("near")).withColumnRenamed("u", "id")
         hooked = labels.join(near, [*scope, "id"]).select(*scope, "id", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
         jump = labels.select(*scope, F.col("id").alias("mid"), F.col("root").alias("far"))
         moved = hooked.join(jump, [*scope, "mid"], "left").select(*scope, "id", "old", F.least("mid", "far").alias("root"))
-        step = scratch.write(f"labels{turn + 1}", moved)
-        changed = step.where("old <> root").limit(1).count()
+        step = own.write(f"labels{turn + 1}", moved)
+        changed = not step.where("old <> root").isEmpty()
         labels = step.drop("old")
-        scratch.drop(f"labels{turn}")
         turn += 1
         if not changed:
+            own.keep(f"labels{turn}")
             return labels
+        own.drop(f"labels{turn - 1}")

@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that the cluster shares.
 
-Lineage is cut by writing Parquet under ``spark.checkpoint.dir``: every executor
-can read it, a lost executor loses nothing, and a table can be deleted as soon
-as the next step has been written.
+Lineage is cut by writing Parquet under ``spark.checkpoint.dir``: every executor can
+read it, a lost executor loses nothing, and a table is deleted as soon as the next
+step has been written. An operator leaves the one table that its result reads;
+``clear`` deletes what the operators of this process have left.
 """
 
 from __future__ import annotations
@@ -13,37 +14,65 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LEFT: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is named (tests)."""
+    """The session's checkpoint folder. Where none is named, a local session gets one of its own, a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="quillon-")
-    spark.sparkContext.setCheckpointDir(own)
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that results of this process still read."""
+    while _LEFT:
+        _delete(spark, _LEFT.pop())
+
+
 class Scratch:
     """Names the intermediate tables of one operator run."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, parent: Scratch | None = None):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        name = f"{label}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{parent.root if parent else shared_dir(spark)}/{name}"
+        self.tables: set[str] = set()
+        if parent:
+            parent.tables.add(name)
+        else:
+            _LEFT.add(self.root)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.tables.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no later step reads, and lets Spark drop old shuffle files."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        """Deletes tables that no later step reads."""
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
+            self.tables.discard(name)
+
+    def keep(self, name: str) -> None:
+        """Deletes all tables but one."""
+        self.drop(*(self.tables - {name}))
+
+    def free_shuffles(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps, which it does for plans that are garbage."""
         gc.collect()
-        jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()
