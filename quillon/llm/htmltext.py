@@ -26,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillon.scratch import Scratch
 from quillon.llm.session import bound_batches
-from quillon.llm.textkernel import CODES, Words, mix, sequence_hashes, slices
+from quillon.llm.textkernel import Words, mix, slices
 from quillon.llm.urls import host_of
 
 # Element names of HTML, and names that sites give to parts around an article.
@@ -65,6 +66,11 @@ SEEDS = 3
 WIDTH = 5
 
 
+@lru_cache(maxsize=len(RAW))
+def _raw_end(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
 def _names_other(tag: str, attrs: str, inside: bool) -> bool:
     """Whether an element's tag, role or class says that it is not the article."""
     if tag in DROP_TAGS or (tag == "header" and not inside):
@@ -82,13 +88,27 @@ def _names_other(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+class _Element:
+    """An open element: what it is, its first block, and a running hash of its subtree."""
+
+    __slots__ = ("tag", "dropped", "inside", "first", "hash")
+
+    def __init__(self, tag: str, attrs: str, dropped: bool, inside: bool, first: int):
+        self.tag, self.dropped, self.inside, self.first = tag, dropped, inside, first
+        self.hash = xxhash.xxh64(f"<{tag} {' '.join(attrs.split())}\0".encode("utf-8", "surrogatepass"))
+
+
 def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, bool, bool]]]:
-    """Blocks of the main text, and the deletable subtrees as (hash, first block, past the last, by pages, by contexts)."""
+    """Blocks of the main text, and the deletable subtrees as (hash, first block, past the last, by pages, by contexts).
+
+    A subtree's hash is made of its own tag and texts and its children's hashes, each read
+    once, so that deep pages take linear time; comments are left out of it.
+    """
     blocks: list[tuple[str, bool]] = []
     subtrees: list[tuple[int, int, int, bool, str]] = []
-    stack: list[tuple[str, bool, bool, int, int]] = []  # tag, dropped, inside an article, source position, first block
+    stack: list[_Element] = []
+    open_tags: dict[str, int] = {}
     buffer: list[str] = []
-    main = False
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -96,20 +116,27 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, bool, bool]]]
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                blocks.append((text, bool(stack) and stack[-1][2]))
+                blocks.append((text, bool(stack) and stack[-1].inside))
 
-    def pop(end: int) -> None:
-        tag, dropped, inside, source, first = stack[-1]
-        if tag in BLOCKS:
+    def pop() -> None:
+        e = stack[-1]
+        if e.tag in BLOCKS:
             flush()
         stack.pop()
-        if tag in BLOCKS and not dropped and len(blocks) > first and tag not in ("article", "main") and not (inside and tag in CELLS):
-            subtrees.append((xxhash.xxh64_intdigest(" ".join(page[source:end].split())) - (1 << 63), first, len(blocks), inside, tag))
+        open_tags[e.tag] -= 1
+        digest = e.hash.intdigest()
+        if stack:
+            stack[-1].hash.update(digest.to_bytes(8, "little"))
+        if e.tag in BLOCKS and not e.dropped and len(blocks) > e.first and e.tag not in ("article", "main") and not (e.inside and e.tag in CELLS):
+            subtrees.append((digest - (1 << 63), e.first, len(blocks), e.inside, e.tag))
 
     while at < n:
         m = _TOKEN.search(page, at)
-        if not stack or not stack[-1][1]:
-            buffer.append(page[at : m.start() if m else n])
+        raw = page[at : m.start() if m else n]
+        if raw and stack:
+            stack[-1].hash.update(" ".join(raw.split()).encode("utf-8", "surrogatepass") + b"\0")
+        if not stack or not stack[-1].dropped:
+            buffer.append(raw)
         if not m:
             break
         at = m.end()
@@ -118,43 +145,46 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, bool, bool]]]
             continue
         tag = tag.lower()
         if slash:
-            if any(x[0] == tag for x in stack):
-                while stack[-1][0] != tag:
-                    pop(m.start())
-                pop(at)
+            if open_tags.get(tag):
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
             continue
-        if tag == "br" or tag in VOID:
+        if tag in VOID:
             if tag == "hr":
                 flush()
             buffer.append(" ")
+            if stack:
+                stack[-1].hash.update(f"<{tag} {attrs}\0".encode("utf-8", "surrogatepass"))
             continue
-        if tag in CLOSES_P:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            while depth is not None and len(stack) > depth:
-                pop(m.start())
-        if tag in SIBLINGS:
+        if tag in CLOSES_P and open_tags.get("p"):
+            while open_tags["p"]:
+                pop()
+        if tag in SIBLINGS and any(open_tags.get(t) for t in SIBLINGS[tag]):
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SCOPES.get(tag, ()):
+                if stack[i].tag in SCOPES.get(tag, ()):
                     break
-                if stack[i][0] in SIBLINGS[tag]:
+                if stack[i].tag in SIBLINGS[tag]:
                     while len(stack) > i:
-                        pop(m.start())
+                        pop()
                     break
         if tag in BLOCKS:
             flush()
-        inside = bool(stack) and stack[-1][2]
-        dropped = (bool(stack) and stack[-1][1]) or _names_other(tag, attrs, inside)
+        inside = bool(stack) and stack[-1].inside
+        dropped = (bool(stack) and stack[-1].dropped) or _names_other(tag, attrs, inside)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = _raw_end(tag).search(page, at)
+            if stack:
+                stack[-1].hash.update(page[at : end.start() if end else n].encode("utf-8", "surrogatepass"))
             at = end.end() if end else n
             continue
         if tag in ("article", "main") and not dropped:
             inside = True
-            main = main or tag == "article"
         if not attrs.rstrip().endswith("/") or tag in BLOCKS:
-            stack.append((tag, dropped, inside, m.start(), len(blocks)))
+            stack.append(_Element(tag, attrs, dropped, inside, len(blocks)))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
     while stack:
-        pop(n)
+        pop()
     flush()
     new = list(range(len(blocks) + 1))
     article = any(inside for _, inside in blocks)
@@ -170,16 +200,16 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, bool, bool]]]
 def _least(blocks: list[str]) -> np.ndarray:
     """Min-hashes (a row a seed) of each block's word windows; of all its words where it has fewer."""
     words = Words(pa.array(blocks, pa.string()))
-    prefix, bounds = words.sequence_prefix(), words.rows
+    bounds = words.rows
     first = np.arange(len(words.hashes))
     past = np.minimum(first + WIDTH, np.repeat(bounds[1:], words.counts()))
     begin = np.repeat(bounds[:-1], words.counts())
     whole = (past - first == WIDTH) | (first == begin)
-    hashes = sequence_hashes(prefix, first, past)
+    hashes = words.runs().spans(first, past)
     out = np.full((SEEDS, len(blocks)), np.uint64(2**64 - 1))
     some = np.flatnonzero(words.counts())
     for seed in range(SEEDS if len(some) else 0):
-        mixed = np.where(whole, mix(hashes ^ np.uint64(CODES[seed])), np.uint64(2**64 - 1))
+        mixed = np.where(whole, mix(hashes ^ np.uint64(seed + 1)), np.uint64(2**64 - 1))
         out[seed, some] = np.minimum.reduceat(mixed, bounds[:-1][some])
     return out
 
@@ -214,14 +244,16 @@ def _parse_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 3, share: float = 0.5, most: int = 20) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of ``pages``."""
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 3, share: float = 0.5, most: int = 20, templates: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row of ``pages``; without ``templates`` no subtree is counted or deleted."""
     bound_batches(pages)
     scratch = Scratch(pages.sparkSession, "htmltext")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), host_of(pages[url_col]).alias("host"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
     part = "hash:bigint,first:int,past:int,pages:boolean,contexts:boolean,once:boolean,around:array<int>"
     schema = f"page_id long, url string, host string, blocks array<string>, whole long, parts array<struct<{part}>>"
     parsed = scratch.write("parsed", rows.mapInArrow(_parse_batches, schema).withColumn("row", F.monotonically_increasing_id()))
+    if not templates:
+        return parsed.select("page_id", "url", F.array_join("blocks", "\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
     parts = parsed.select("row", "host", "whole", F.explode("parts").alias("p")).select("row", "host", "whole", "p.*")
     hosts = parsed.groupBy("host").agg(F.count("*").alias("n"))
     hosts = hosts.select("host", F.greatest(F.lit(min_pages), F.col("n") * share).alias("half"), F.greatest(F.lit(min_pages), F.least(F.lit(most), F.col("n") * share)).alias("few"))
@@ -234,7 +266,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     chosen = found.join(spread.hint("shuffle_hash"), ["host", "hash"], "left").where((F.col("common") & F.col("pages")) | (F.col("spread") & F.col("contexts")))
     ranges = scratch.write("ranges", chosen.groupBy("row").agg(F.collect_set(F.struct("first", "past")).alias("ranges")))
     del parts, hosts, seen, often, found, counts, spread, chosen
-    scratch.drop("often")  # and the shuffle files so far, before the texts are shuffled
+    scratch.drop("often")
+    scratch.free_shuffles()  # before the texts are shuffled
     joined = parsed.select("row", "page_id", "url", "blocks").join(ranges, "row", "left")
     left = F.expr("filter(blocks, (t, i) -> not exists(ranges, r -> i >= r.first and i < r.past))")
     kept = F.when(F.col("ranges").isNull(), F.col("blocks")).otherwise(F.when(F.size(left) > 0, left).otherwise(F.col("blocks")))

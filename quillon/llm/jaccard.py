@@ -1,33 +1,39 @@
 """Operator 8: n-gram Jaccard join with PartEnum signatures.
 
-A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets of
-sizes at most s with Jaccard similarity 0.75 or more differ in at most k = 2s/7
-elements. The hash domain of a size level is cut into 2**j first-level groups
-(k / 2**j is between 0.6 and 1.2 at the level's ends), each group into three parts,
-and the two-part subsets of every group are enumerated: a group that holds at most
-one differing part gives both sets the same signature. Levels follow the larger
-set, so a set whose partners may reach the next level is signed for both.
-
-Enumerating ``GROUPS`` groups bounds a text's signatures at 84 a level whatever its
-length. A pair at exactly the threshold then shares ``SPARE`` signatures or fewer with
-probability 1.4e-9 where k / 2**j is 0.9 and 4.6e-8 at a level's end, 1.2 (Poisson
-counts in the parts; two empty parts give no signature); pairs above the threshold far
-less often. Sets of 67 shingles or fewer sign each shingle (every
-part is one element), which never misses.
-
-Equal sets are merged first. Similar sets share many signatures, so each set leaves
-out its hottest ones: all but a quarter of the single-shingle ones, and ``SPARE`` of
-the others (prefix filtering by bucket size). Star rounds then compare each set with
-one hub of its buckets, which collapses groups of near copies without their pairs; in
-the last round the sets of one bucket that are still in different components are
-compared. Two sets are compared at all only if bitmaps of their hashes differ in no
-more bits than similar sets can (an exact bound). Every comparison is exact, on whole
-texts sent to the compared set's partition, salted where one set has many partners.
+A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets of a
+and b elements with Jaccard similarity num / den or more differ in at most
+k = (den - num) * (a + b) / (den + num) elements. The hash domain of a size level (sets
+of at most s elements, s a power of two) is cut into s / 4 groups of three parts, and the
+two-part subsets of a group are enumerated: a group that holds at most one differing
+part gives both sets the same signature. Levels follow the larger set, so a set whose
+partners may reach the next level is signed for both. Sets of at most 64 shingles sign
+each shingle by itself as well.
+
+How many groups a set signs follows from its size, and no similar pair is missed. A
+differing pair of parts costs a group with two or three parts in use two differing
+elements, one with a single part one. A set signs its groups in order until those
+before cost more than k + 2 * ``SPARE`` elements. The groups that a similar pair loses
+cost at most k in both sets, so both sign the first ``SPARE`` + 1 groups that they share.
+A set may therefore leave out its ``SPARE`` hottest signatures (prefix filtering by bucket
+size), fewer if its groups are used up; of single-shingle signatures all but a quarter.
+A set whose groups together cost no more than k cannot be signed; that does not occur
+with hashed shingles, but such sets are found and compared with all sets of their size.
+
+Equal sets are merged first. Star rounds then compare each set with one hub of its
+buckets, which collapses groups of near copies without their pairs; in the last round
+the sets of one bucket that are still in different components are compared. Two sets
+are compared at all only if bitmaps of their hashes differ in no more bits than similar
+sets can (an exact bound). Every comparison counts the shared hashes of two whole
+texts, in the compared set's partition, salted where one set has many partners. Rows are
+told apart by numbers of their own, so rows may share an id.
+
+Texts of more than ``LONG_TEXT`` bytes are read in overlapping parts; memory grows with
+the set (8 bytes a shingle) and its words, not with copies of the text.
 
 Defined cases: null, empty and wordless texts have no shingles and their own id as
 component; texts with fewer than five words have one shingle; rows sharing a doc_id
-are one document; rows with a null doc_id get a null component; extra columns are
-ignored; an empty table gives an empty result.
+are one document with several texts, linked by each of them; rows with a null doc_id
+get a null component; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,20 +48,34 @@ from pyspark.sql import functions as F
 from quillon.operators.graph import connected_components
 from quillon.scratch import Scratch
 from quillon.llm.session import bound_batches
-from quillon.llm.textkernel import Words, mix, sequence_hashes, signed, slices, window_hashes
+from quillon.llm.textkernel import SLICE_BYTES, Words, mix, parts_of, signed, slices, utf8
 
-WIDTH, GROUPS, TINY, SPLIT, SPARE, STARS = 5, 28, 67, 256, 7, 2
+WIDTH, TINY, SPLIT, SPARE, STARS = 5, 64, 256, 8, 2
 NARROW, WIDE, BIG = 16, 128, 400
+LONG_TEXT = 8 * SLICE_BYTES
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
+_BASE = "doc_id long, text string, n_shingles long, spare int, d1 long, d2 long"
 
 
-def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def _long_set(text: bytes, width: int, limit: int) -> np.ndarray | None:
+    """The set of one long text, read in parts; None if it has fewer words than a shingle."""
+    grams = [Words(pa.array([part], pa.large_binary()), lower=True).runs().windows(width) for _, part in parts_of(text, limit, width - 1)]
+    out = np.unique(np.concatenate(grams))
+    return out if len(out) else None
+
+
+def shingle_sets(column: pa.Array, width: int = WIDTH, limit: int = LONG_TEXT) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, and the rows' offsets into them."""
+    if len(column) == 1:
+        data, _ = utf8(column)
+        if len(data) > limit and (own := _long_set(data.tobytes(), width, limit)) is not None:
+            return own, np.array([0, len(own)])
     words = Words(column, lower=True)
-    prefix = words.sequence_prefix()
-    grams = window_hashes(prefix, width)
+    runs = words.runs()
+    grams = runs.windows(width)
     counts = words.counts()
-    whole = sequence_hashes(prefix, words.rows[:-1], words.rows[1:]) if len(counts) else prefix[:0]
+    few = np.flatnonzero((counts > 0) & (counts < width))
+    whole = dict(zip(few.tolist(), runs.spans(words.rows[few], words.rows[few + 1]).tolist(), strict=True))
     sets = []
     for i, (a, n) in enumerate(zip(words.rows[:-1].tolist(), counts.tolist(), strict=True)):
         if n >= width:
@@ -63,43 +83,91 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.n
             if n > width:
                 s = s[np.append(True, s[1:] != s[:-1])]
         else:
-            s = whole[i : i + 1] if n else whole[:0]
+            s = np.array([whole[i]] if n else [], np.uint64)
         sets.append(s)
     offsets = np.zeros(len(sets) + 1, np.int64)
     np.cumsum([len(s) for s in sets], out=offsets[1:])
-    return (np.concatenate(sets) if sets else whole), offsets
+    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), offsets
 
 
 def level(size: np.ndarray) -> np.ndarray:
-    """log2 of the number of first-level groups for sets of at most this size; 0: one part an element."""
-    k = 2 * size // 7
-    return np.where(size <= TINY, 0, np.ceil(np.log2(np.maximum(k, 1) / 1.2)).astype(np.int64))
-
-
-def _signatures(flat: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of the rows whose level is not negative."""
-    row = np.repeat(np.arange(len(levels)), np.diff(offsets))
-    lv = levels[row]
-    tiny = lv == 0
-    out_rows, out_sigs = [row[tiny]], [mix(flat[tiny] + np.uint64(0x5DEECE66D)) | np.uint64(1)]
-    cut = np.uint64(64) - np.maximum(lv, 5).astype(np.uint64)
-    group = flat >> cut
-    use = (lv > 0) & (group < GROUPS)
-    row, flat, cut, group, lv = row[use], flat[use], cut[use], group[use], lv[use]
-    rest = (flat << (np.uint64(64) - cut)) >> np.uint64(32)
-    cell = (row * GROUPS + group.astype(np.int64)) * 3 + ((rest * np.uint64(3)) >> np.uint64(32)).astype(np.int64)
-    if len(cell):
-        sums = np.zeros((len(levels) * GROUPS, 3), np.uint64)
-        head = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        sums.reshape(-1)[cell[head]] = np.add.reduceat(mix(flat), head)
-        owner = np.repeat(np.arange(len(levels)), GROUPS)
-        label = np.tile(np.arange(GROUPS, dtype=np.uint64), len(levels)) * np.uint64(64) + np.maximum(levels, 0)[owner].astype(np.uint64)
+    """j of the level of sets of at most 64 * 2**j elements; 0 for all that are not larger than 64."""
+    return np.maximum(np.frexp(np.maximum(size, 1) - 0.5)[1] - 6, 0)
+
+
+def budgets(size: np.ndarray, lv: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Most elements in which a set can differ from a similar one of the level, which is not smaller."""
+    largest = np.minimum(size * den // num, TINY << lv)
+    return (den - num) * (size + largest) // (den + num)
+
+
+class Groups:
+    """The groups of the rows' sets at one level each: their parts' sums, and what it costs to lose them."""
+
+    def __init__(self, flat: np.ndarray, offsets: np.ndarray, levels: np.ndarray):
+        row = np.repeat(np.arange(len(levels)), np.diff(offsets))
+        use = levels[row] > 0
+        row, flat = row[use], flat[use]
+        bits = levels[row].astype(np.uint64) + np.uint64(4)  # a level has s / 4 = 16 * 2**j groups
+        group = flat >> (np.uint64(64) - bits)
+        rest = (flat << bits) >> np.uint64(32)
+        part = ((rest * np.uint64(3)) >> np.uint64(32)).astype(np.int64)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (group[1:] != group[:-1])
+        number = np.cumsum(new) - 1
+        cell = number * 3 + part
+        head = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+        self.row, self.group = row[new], group[new]
+        self.sums = np.zeros((len(self.row), 3), np.uint64)
+        if len(head):
+            self.sums.reshape(-1)[cell[head]] = np.add.reduceat(mix(flat), head)
+        self.cost = np.minimum((self.sums != 0).sum(axis=1), 2)
+        total = np.cumsum(self.cost)
+        first = np.searchsorted(self.row, self.row)
+        self.before = total - self.cost - (total[first] - self.cost[first]) if len(total) else total
+        self.total = np.bincount(self.row, weights=self.cost, minlength=len(levels)).astype(np.int64)
+
+    def signatures(self, levels: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, signature) of the groups before which at most ``most`` (a row's number) is lost."""
+        take = self.before <= most[self.row]
+        row, sums = self.row[take], self.sums[take]
+        label = self.group[take] * np.uint64(64) + levels[row].astype(np.uint64)
+        rows, sigs = [], []
         for k, (a, b) in enumerate(_SUBSETS):
-            total = sums[:, a] + mix(sums[:, b] + np.uint64(1))
             full = (sums[:, a] | sums[:, b]) != 0
-            out_rows.append(owner[full])
-            out_sigs.append(mix(total[full] ^ mix(label[full] * np.uint64(4) + np.uint64(k))) & ~np.uint64(1))
-    return np.concatenate(out_rows), np.concatenate(out_sigs)
+            rows.append(row[full])
+            total = sums[:, a] + mix(sums[:, b] + np.uint64(1))
+            sigs.append(mix(total ^ mix(label * np.uint64(4) + np.uint64(k)))[full] & ~np.uint64(1))
+        return np.concatenate(rows), np.concatenate(sigs)
+
+
+def _levels(size: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """The own level of each set, and the next one where partners may reach it (0: no groups)."""
+    own, ahead = level(size), level(size * den // num)
+    return [np.where(size > 0, own, 0), np.where((size > 0) & (ahead != own), ahead, 0)]
+
+
+def spares(flat: np.ndarray, offsets: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Signatures that each set may leave out; -1 where its groups are too few for any guarantee."""
+    size = np.diff(offsets)
+    out = np.full(len(size), SPARE)
+    for lv in _levels(size, num, den):
+        room = Groups(flat, offsets, lv).total - budgets(size, lv, num, den)
+        out = np.where(lv > 0, np.minimum(out, (room + 1) // 2 - 1), out)
+    return np.maximum(out, -1)
+
+
+def signatures(flat: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature): odd ones of single shingles, even ones of groups."""
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    tiny = size[row] <= TINY
+    rows, sigs = [row[tiny]], [mix(flat[tiny] + np.uint64(0x5DEECE66D)) | np.uint64(1)]
+    for lv in _levels(size, num, den):
+        more_rows, more = Groups(flat, offsets, lv).signatures(lv, budgets(size, lv, num, den) + 2 * SPARE)
+        rows.append(more_rows)
+        sigs.append(more)
+    return np.concatenate(rows), np.concatenate(sigs)
 
 
 def _bitmaps(flat: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
@@ -119,32 +187,46 @@ def _lists(rows: np.ndarray, present: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, mask=np.append(~present, False)), pa.array(rows.reshape(-1)))
 
 
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(num: int, den: int):
+    """Size, digests and spare signatures of each row's set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            flat, offsets = shingle_sets(part.column("text"))
+            size = np.diff(offsets)
+            one = np.concatenate([flat, np.zeros(1, np.uint64)])
+            digests = []
+            for salt in (1, 2):
+                d = np.add.reduceat(mix(one ^ np.uint64(salt * 0x9E3779B9)), np.minimum(offsets[:-1], len(flat)))
+                digests.append(pa.array(signed(mix(d + size.astype(np.uint64)))))
+            spare = pa.array(spares(flat, offsets, num, den).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(size), spare, *digests], ["doc_id", "text", "n_shingles", "spare", "d1", "d2"])
+
+    return run
+
+
+def _sign(num: int, den: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            rows, sigs = signatures(*shingle_sets(part.column("text")), num, den)
+            order = np.lexsort((sigs, rows))
+            rows, sigs = rows[order], sigs[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (sigs[1:] != sigs[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(sigs[new])), part.column("id").take(pa.array(rows[new]))], ["sig", "id"])
+
+    return run
+
+
+def _draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of the sets that take part in comparisons."""
     for part in slices(batches, "text"):
         flat, offsets = shingle_sets(part.column("text"))
         size = np.diff(offsets)
-        n = len(size)
-        one = np.concatenate([flat, np.zeros(1, np.uint64)])
-        digests = []
-        for salt in (1, 2):
-            d = np.add.reduceat(mix(one ^ np.uint64(salt * 0x9E3779B9)), np.minimum(offsets[:-1], len(flat))) if n else one[:0]
-            digests.append(signed(mix(d + size.astype(np.uint64))))
-        own = level(size)
-        ahead = level(size * 4 // 3)
-        rows, sigs = _signatures(flat, offsets, np.where(size > 0, own, -1))
-        more_rows, more = _signatures(flat, offsets, np.where((size > 0) & (ahead != own), ahead, -1))
-        rows, sigs = np.concatenate([rows, more_rows]), np.concatenate([sigs, more])
-        order = np.argsort(rows, kind="stable")
-        at = np.zeros(n + 1, np.int32)
-        np.cumsum(np.bincount(rows, minlength=n), out=at[1:])
         big = size > BIG
-        wide_flat = flat[np.repeat(big, size)]
-        wide_at = np.append(0, np.cumsum(size[big]))
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("th"), pa.array(size.astype(np.int64)), pa.array(digests[0]), pa.array(digests[1]), pa.ListArray.from_arrays(pa.array(at), pa.array(signed(sigs[order]))),
-             _lists(_bitmaps(flat, offsets, NARROW), np.ones(n, bool)), _lists(_bitmaps(wide_flat, wide_at, WIDE), big)],
-            ["doc_id", "th", "n_shingles", "d1", "d2", "sigs", "bits", "wide"],
-        )
+        wide = _bitmaps(flat[np.repeat(big, size)], np.append(0, np.cumsum(size[big])), WIDE)
+        narrow = _lists(_bitmaps(flat, offsets, NARROW), np.ones(len(size), bool))
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size), narrow, _lists(wide, big)], ["id", "n_shingles", "bits", "wide"])
 
 
 def _compare(num: int, den: int):
@@ -191,13 +273,13 @@ def _near(x: str, y: str, num: int, den: int) -> str:
     return f"case when {den + num} * ({differ}) > {most} then false when {x}.wide is null or {y}.wide is null then true else {den + num} * {wide} <= {most} end"
 
 
-def _prefixes(live: DataFrame) -> DataFrame:
-    """(sig, id) without each set's hottest signatures; live: (sig, id, n_shingles)."""
-    sizes = live.groupBy("sig").agg(F.count("*").alias("n"))
+def _prefixes(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, id) without each set's hottest signatures; live: (sig, id, n)."""
     one = F.expr("sig % 2 <> 0")
     rarest = Window.partitionBy("id", one).orderBy(F.desc("n"), "sig")
-    ranked = live.join(sizes, "sig").withColumn("k", F.row_number().over(rarest))
-    return ranked.where(F.when(one, F.col("k") >= F.ceil(F.col("n_shingles") * 0.75)).otherwise(F.col("k") > SPARE)).select("sig", "id")
+    ranked = live.join(sets.select("id", "n_shingles", "spare"), "id").withColumn("k", F.row_number().over(rarest))
+    single = F.col("k") >= F.ceil(F.col("n_shingles") * F.lit(num) / F.lit(den))
+    return ranked.where(F.when(one, single).otherwise(F.col("k") > F.greatest("spare", F.lit(0)))).select("sig", "id")
 
 
 def _mixed(live: DataFrame) -> DataFrame:
@@ -229,31 +311,46 @@ def _pairs(mixed: DataFrame, sets: DataFrame, near: str) -> DataFrame:
     return rows.alias("x").join(rows.alias("y"), F.expr(able)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def _unsigned(sets: DataFrame, num: int, den: int) -> DataFrame | None:
+    """Pairs (a < b) of sets that cannot be signed with all sets of their size: none, for hashed shingles."""
+    short = sets.where("spare < 0").select("id", "n_shingles")
+    if short.isEmpty():
+        return None
+    x, y = short.alias("x"), sets.alias("y")
+    sized = x.join(y, F.expr(f"x.id <> y.id and {den} * x.n_shingles >= {num} * y.n_shingles and {den} * y.n_shingles >= {num} * x.n_shingles"))
+    return sized.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links: den * |A n B| >= num * |A u B|.
 
-    ``num / den`` may be 3/4 or more: the signature levels are those of 3/4.
+    ``num / den`` may be 3/4 or more: the levels have groups for that. The steps run
+    when the function is called; the result reads one table.
     """
     bound_batches(docs)
-    if 4 * num < 3 * den:
-        raise ValueError("the signature levels hold for similarities of 0.75 and more")
+    if 4 * num < 3 * den or num > den:
+        raise ValueError("the signature levels hold for similarities from 0.75 to 1")
     scratch = Scratch(docs.sparkSession, "jaccard")
-    text = F.coalesce(docs[text_col], F.lit(""))
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    base = scratch.write("base", texts.mapInArrow(_sign, "doc_id long, th long, n_shingles long, d1 long, d2 long, sigs array<long>, bits array<long>, wide array<long>"))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    base = scratch.write("base", texts.mapInArrow(_measure(num, den), _BASE).withColumn("row", F.monotonically_increasing_id()))
 
     known = base.where("doc_id is not null and n_shingles > 0")
-    sets = scratch.write("sets", known.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("rep")).select("d1", "d2", F.col("rep.doc_id").alias("id"), F.col("rep.th").alias("th")))
-    own = known.withColumnRenamed("doc_id", "id").join(sets.select("id", "th"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
-    sigs = own.select("id", "n_shingles", F.explode(F.array_distinct("sigs")).alias("sig"))
-    buckets = sigs.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low <> top").select("sig")
-    live = scratch.write("live", sigs.join(buckets.hint("shuffle_hash"), "sig"))
-    kept = scratch.write("kept", _prefixes(live))
+    first = F.min(F.struct("doc_id", "row", "n_shingles", "spare")).alias("rep")
+    sets = scratch.write("sets", known.groupBy("d1", "d2").agg(first).select("d1", "d2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.row").alias("id"), "rep.n_shingles", "rep.spare"))
+    own = base.select(F.col("row").alias("id"), "text")
+    sigs = own.join(sets.select("id"), "id", "left_semi").mapInArrow(_sign(num, den), "sig long, id long").repartition("sig")
+    sizes = sigs.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("top"), F.count("*").alias("n")).where("low <> top").select("sig", "n")
+    live = scratch.write("live", sigs.join(sizes.hint("shuffle_hash"), "sig"))
+    kept = scratch.write("kept", _prefixes(live, sets, num, den))
     scratch.drop("live")
-    held = own.join(kept.select("id").distinct(), "id", "left_semi").select("id", "th", "n_shingles", "bits", "wide")
-    members = scratch.write("members", held)
-    ids, bitmaps = members.select("id", "th"), members.drop("th")
-    bodies = scratch.write("bodies", texts.withColumnRenamed("doc_id", "id").join(ids, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]))
+    del sigs, sizes, live
+    scratch.free_shuffles()
+    unsigned = _unsigned(sets, num, den)
+    able = kept.select("id").distinct()
+    if unsigned is not None:
+        able = able.unionByName(unsigned.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    bodies = scratch.write("bodies", own.join(able, "id", "left_semi"))
+    bitmaps = scratch.write("members", bodies.mapInArrow(_draw, "id long, n_shingles long, bits array<long>, wide array<long>"))
 
     near = _near("x", "y", num, den)
     links, tried, roots = None, None, None
@@ -261,24 +358,40 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         parted = kept.withColumn("c", F.col("id")) if roots is None else kept.join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("c"))
         mixed = scratch.write(f"mixed{turn}", _mixed(parted))
         pairs = _stars(mixed, bitmaps, turn, near) if turn < STARS else _pairs(mixed, bitmaps, near)
+        if unsigned is not None and turn == STARS:
+            pairs = pairs.unionByName(unsigned).distinct()
         pairs = scratch.write(f"pairs{turn}", pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         similar = scratch.write(f"links{turn}", _verify(bodies, pairs, num, den))
         links = similar if links is None else links.unionByName(similar)
         if turn < STARS:
-            roots = scratch.write(f"roots{turn}", connected_components(links))
+            roots = connected_components(links, scratch=scratch)
         scratch.drop(f"mixed{turn}")
-    scratch.drop("kept", "bodies")
-    same = known.select("doc_id", "d1", "d2").join(sets.select("d1", "d2", "id"), ["d1", "d2"]).where("doc_id <> id").select(F.col("id").alias("src"), F.col("doc_id").alias("dst"))
-    final = scratch.write("final", connected_components(links.unionByName(same)))
-    return base.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+        scratch.free_shuffles()
+    scratch.drop("kept", "bodies", "members")
+    names = sets.select("id", F.col("doc_id").alias("name"))
+    linked = links.join(names.withColumnRenamed("id", "src"), "src").withColumnRenamed("name", "u").join(names.withColumnRenamed("id", "dst"), "dst").select(F.col("u").alias("src"), F.col("name").alias("dst"))
+    same = known.select("doc_id", "d1", "d2").join(sets.select("d1", "d2", F.col("doc_id").alias("name")), ["d1", "d2"]).where("doc_id <> name").select(F.col("name").alias("src"), F.col("doc_id").alias("dst"))
+    final = connected_components(linked.unionByName(same), scratch=scratch).withColumnRenamed("id", "doc_id")
+    found = base.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    out = scratch.write("out", found)
+    scratch.keep("out")
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold their component's least id; rows without an id stay."""
+    """The rows of ``docs`` that hold their component's least id; rows without an id stay.
+
+    Rows that share that id are one document, of which each different text stays once.
+    """
     found = similar_components(docs, id_col, text_col)
     drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti")
+    again = found.where("doc_id is not null and component_id = doc_id").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col)
+    left = docs.join(drop, id_col, "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    repeated = left.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:

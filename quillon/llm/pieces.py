@@ -11,17 +11,22 @@ best edge that joins exactly two of its symbols. (A byte-pair model has no addit
 path scores, so its edges are relaxed in score order, not along shortest paths.)
 Chunks of more than ``LONG`` characters use a heap over the same edges.
 
-Encoded chunks are kept between slices in a table of bounded size.
+Encoded chunks are kept between slices by their bytes, in a table of bounded size;
+inside a slice chunks are grouped by hash and then compared byte by byte. Texts of more
+than ``SLICE`` bytes are encoded in runs of whole chunks. A chunk is never cut, so memory
+grows with the longest run of characters without a space (about 300 bytes a character).
 
 Defined cases: null and empty texts encode to no ids and decode to the empty text;
 characters outside the vocabulary become their bytes; ids of control pieces decode to
 nothing, ids outside the vocabulary raise; a literal U+2581 decodes to a space, as in
-the library; repeated rows get equal ids; extra columns are kept.
+the library; repeated rows get equal ids; extra columns are kept, and one that has the
+result's name is replaced.
 """
 
 from __future__ import annotations
 
 import heapq
+import os
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -32,9 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.session import bound_batches
-from quillon.llm.textkernel import BYTE_BASE, CODES, mix, powers, slices, utf8
+from quillon.llm.textkernel import run_hashes, slices, utf8
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where the tokenizer's model file is; the environment may name another.
+MODEL = os.environ.get("QUILLON_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SLICE, LONG, KEPT = 1 << 20, 128, 200_000
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -249,11 +255,41 @@ class Model:
         flat, cuts = ids.astype(np.int32), [*cuts.tolist(), len(ids)]
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def encode(self, column: pa.Array, kept: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def _distinct(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(an example of each distinct chunk, each chunk's number): equal hashes, then equal bytes."""
+        _, example, inside = np.unique(run_hashes(data, begin, end), return_index=True, return_inverse=True)
+        size, first = end - begin, example[inside]
+        shift = np.repeat(begin[first] - begin, size)
+        if (size == size[first]).all() and (data[begin[0] : end[-1]] == data[np.arange(begin[0], end[-1]) + shift]).all():
+            return example, inside
+        raw, numbers = data.tobytes(), {}  # two chunks share a hash
+        inside = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+        return np.unique(inside, return_index=True)[1], inside
+
+    def _run(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, kept: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids before each chunk) of chunks that follow each other."""
+        example, inside = self._distinct(data, begin, end)
+        raw, low = data[begin[0] : end[-1]].tobytes(), int(begin[0])
+        known = [raw[a - low : b - low] for a, b in zip(begin[example].tolist(), end[example].tolist(), strict=True)]
+        if len(kept) > KEPT:
+            kept.clear()
+        new = [name for name in known if name not in kept]
+        if new:
+            kept.update(zip(new, self.encode_chunks([name.decode().replace(" ", MARK) for name in new]), strict=True))
+        parts = [kept[name] for name in known]
+        size = np.array([len(p) for p in parts], np.int64)
+        flat, at = np.concatenate(parts), np.cumsum(size) - size
+        n = size[inside]
+        total = int(n.sum())
+        step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+        return flat[np.repeat(at[inside], n) + step], np.append(0, np.cumsum(n))
+
+    def encode(self, column: pa.Array, kept: dict[bytes, np.ndarray], limit: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
         """(ids, row offsets) of a slice of texts."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
         if self.prefix:
-            column = pc.if_else(pc.equal(pc.binary_length(column), 0), column, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string())))
+            led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string()))
+            column = pc.if_else(pc.equal(pc.binary_length(column), 0), column, led)
         data, offsets = utf8(column)
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
@@ -263,27 +299,11 @@ class Model:
         first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         begin = np.flatnonzero(first)
         end = np.append(begin[1:], len(data))
-        power, inverse = powers(BYTE_BASE, len(data) + 1)
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(CODES[data] * power[: len(data)], out=prefix[1:])
-        names, example, inside = np.unique(mix((prefix[end] - prefix[begin]) * inverse[begin]), return_index=True, return_inverse=True)
-        known = names.tolist()
-        new = [k for k, name in enumerate(known) if name not in kept]
-        raw = data.tobytes()
-        if len(kept) > KEPT:
-            kept.clear()
-            new = list(range(len(known)))
-        if new:
-            texts = [raw[begin[j] : end[j]].decode().replace(" ", MARK) for j in example[new].tolist()]
-            kept.update(zip((known[k] for k in new), self.encode_chunks(texts), strict=True))
-        parts = [kept[name] for name in known]
-        size = np.array([len(p) for p in parts], np.int64)
-        flat, at = np.concatenate(parts), np.cumsum(size) - size
-        n = size[inside]
-        total = int(n.sum())
-        step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        bounds = np.append(0, np.cumsum(n))
-        return flat[np.repeat(at[inside], n) + step], bounds[np.searchsorted(begin, offsets)]
+        cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(data), 2 * limit)), len(begin)))
+        runs = [self._run(data, begin[a:b], end[a:b], kept) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        total = np.append(0, np.cumsum([len(ids) for ids, _ in runs]))
+        bounds = np.append(np.concatenate([at[:-1] + before for (_, at), before in zip(runs, total)]), total[-1])
+        return np.concatenate([ids for ids, _ in runs]), bounds[np.searchsorted(begin, offsets)]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of a slice of id lists."""
@@ -307,30 +327,33 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
+def _added(rows: DataFrame, name: str, kind: str) -> tuple[list[str], str]:
+    """The columns that stay beside a new one, and the schema with it."""
+    fields = [f for f in rows.schema if f.name != name]
+    return [f.name for f in fields], ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` {kind}"])
+
+
 def encode(rows: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``rows`` with the ids of each whole text; the model's bytes are sent to the executors."""
     bound_batches(rows)
-    if ids_col in rows.columns:
-        raise ValueError(f"{ids_col} is a column of the table already")
     held = rows.sparkSession.sparkContext.broadcast(model)
+    stay, schema = _added(rows, ids_col, "array<int>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, kept = Model(held.value), {}
         for part in slices(batches, text_col, SLICE):
             ids, offsets = own.encode(part.column(text_col), kept)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids_col])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in stay), lists], [*stay, ids_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, `{ids_col}` array<int>")
+    return rows.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of each list of ids."""
     bound_batches(rows)
-    if text_col in rows.columns:
-        raise ValueError(f"{text_col} is a column of the table already")
     held = rows.sparkSession.sparkContext.broadcast(model)
+    stay, schema = _added(rows, text_col, "string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(held.value)
@@ -339,10 +362,9 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
                 part = batch.slice(a, 512)
                 lists = pc.fill_null(part.column(ids_col), pa.scalar([], part.column(ids_col).type))
                 texts = own.decode(lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in stay), pa.array(texts, pa.string())], [*stay, text_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, `{text_col}` string")
+    return rows.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, model: bytes) -> DataFrame:
