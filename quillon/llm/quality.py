@@ -6,14 +6,16 @@ A text's UTF-8 bytes are cut into chunks of ``CHUNK`` bytes that overlap by
 filter's response is max-pooled over the chunk; a small dense layer turns a chunk
 into a logit, and the mean logit over all chunks gives the text's probability.
 
-Training uses at most ``SAMPLE`` labelled texts (the least in a hash order of their
-ids, held-out rows never) and ``PER_TEXT`` chunks spread over each, so that it is
-bounded and the same however the tables are laid out. Only text is an input.
+Training uses at most ``SAMPLE`` labelled texts, whole, with all of their chunks: the
+first ones in a hash order of their ids while they take at most ``SAMPLE_BYTES`` together
+(held-out rows never). So it is bounded and the same however the tables are laid out.
+A text's chunks weigh as much as another text's. Only text is an input.
 
 Defined cases: null and empty texts are one chunk of padding and get its score; rows
 without a label are scored like others; a label table without usable rows gives the
 score 0.5; repeated rows get equal scores, and rows that share an id train with the
-least of their texts; extra columns are ignored.
+least of their texts; extra columns are ignored, or kept by ``keep_good``. Training runs
+when a function is called.
 """
 
 from __future__ import annotations
@@ -22,16 +24,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.session import bound_batches
-from quillon.llm.textkernel import slices, utf8
+from quillon.llm.textkernel import SLICE_BYTES, slices, utf8
 
 CHUNK, OVERLAP, WIDTH, STRIDE = 256, 32, 6, 2
 EMBED, FILTERS, HIDDEN = 8, 32, 16
-SAMPLE, PER_TEXT, EPOCHS, BATCH = 4000, 4, 8, 64
+SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH = 4000, 16 << 20, 4, 64
 THRESHOLD = 0.3
+LONG_TEXT = 8 * SLICE_BYTES
 _STEPS = (CHUNK - WIDTH) // STRIDE + 1
 
 
@@ -89,7 +92,7 @@ class Net:
         hidden = np.maximum(np.maximum(pooled, 0).astype(np.float64) @ self.p["dense"] + self.p["dbias"], 0)
         return hidden @ self.p["out"].astype(np.float64) + self.p["obias"][0]
 
-    def fit(self, chunks: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, rate: float = 4e-3, decay: float = 1e-4) -> None:
+    def fit(self, chunks: np.ndarray, target: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, rate: float = 4e-3, decay: float = 1e-4) -> None:
         rng = np.random.Generator(np.random.PCG64(11))
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         reach, turn = (_STEPS - 1) * STRIDE + 1, 0
@@ -98,7 +101,7 @@ class Net:
             order = rng.permutation(len(chunks))
             for a in range(0, len(order), BATCH):
                 pick = order[a : a + BATCH]
-                x, y = chunks[pick], target[pick]
+                x, y, w = chunks[pick], target[pick], weight[pick]
                 tables = self.tables()
                 total = sum(tables[k][x[:, k : k + reach : STRIDE]] for k in range(WIDTH))
                 spot = total.argmax(axis=1)
@@ -107,7 +110,7 @@ class Net:
                 pre = act @ self.p["dense"] + self.p["dbias"]
                 hidden = np.maximum(pre, 0)
                 z = hidden @ self.p["out"] + self.p["obias"][0]
-                d = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
+                d = (w * (1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
                 g = {"out": hidden.T @ d, "obias": np.array([d.sum()], np.float32)}
                 dh = np.outer(d, self.p["out"]) * (pre > 0)
                 g["dense"], g["dbias"] = act.T @ dh, dh.sum(axis=0)
@@ -128,51 +131,65 @@ class Net:
                     self.p[key] -= (rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-7)).astype(np.float32)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """Probability of each text, from all of its chunks."""
-        chunks, first = chunk_bytes(data, offsets)
-        z = np.clip(self.logits(self.pooled(chunks, tables)), -30, 30)
-        mean = np.add.reduceat(z, first[:-1]) / np.diff(first) if len(first) > 1 else z
+        """Probability of each text, from all of its chunks; a long text's chunks are made in blocks."""
+        out = np.empty(len(offsets) - 1)
+        if len(out) == 1 and len(data) > LONG_TEXT:
+            hop = CHUNK - OVERLAP
+            step = LONG_TEXT // hop * hop
+            ends = [(a, min(a + step + OVERLAP, len(data))) for a in range(0, len(data) - OVERLAP, step)]
+            blocks = [self._logits_of(data[a:b], np.array([0, b - a]), tables)[0] for a, b in ends]
+            mean = np.array([np.concatenate(blocks).mean()])
+        else:
+            z, first = self._logits_of(data, offsets, tables)
+            mean = np.add.reduceat(z, first[:-1]) / np.diff(first) if len(out) else out
         return np.round(1 / (1 + np.exp(-mean)), 9)  # equal texts, equal scores in any slice
 
-
-def _spread_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training chunks: PER_TEXT chunks at even distances over each whole text."""
-    for part in slices(batches, "text"):
-        chunks, first = chunk_bytes(*utf8(part.column("text")))
-        rows, blobs = [], []
-        for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-            for j in sorted({int(a + (b - a) * k // PER_TEXT) for k in range(PER_TEXT)}):
-                rows.append(i)
-                blobs.append(chunks[j].tobytes())
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("label").take(take), pa.array(blobs, pa.binary())], ["doc_id", "label", "chunk"])
+    def _logits_of(self, data: np.ndarray, offsets: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chunks, first = chunk_bytes(data, offsets)
+        return np.clip(self.logits(self.pooled(chunks, tables)), -30, 30), first
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Net | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Net | None:
     """A network fitted to a bounded sample of the labelled rows that are not held out."""
     bound_batches(docs)
     key = labels[id_col].cast("long")
-    usable = labels.where(labels[label_col].isNotNull() & key.isNotNull() & ~held_out(key)).select(key.alias("doc_id"), labels[label_col].cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    usable = labels.where(labels[label_col].isNotNull() & key.isNotNull() & ~held_out(key)).select(key.alias("doc_id"), labels[label_col].cast("int").alias("label"))
+    one_label = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = one_label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
-    rows = one.mapInArrow(_spread_chunks, "doc_id long, label int, chunk binary").toArrow()
+    size = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample's rows
+    rows = one.withColumn("size", size).where(F.col("size") <= sample_bytes).select("doc_id", "label", "text").toArrow().combine_chunks()
     if rows.num_rows == 0:
         return None
-    chunks = np.frombuffer(b"".join(rows.column("chunk").to_pylist()), np.uint8).reshape(-1, CHUNK)
+    rows = rows.sort_by("doc_id")
+    chunks, first = chunk_bytes(*utf8(rows.column("text")))
+    n = np.diff(first)
+    owner = np.repeat(np.arange(len(n)), n)
     target = rows.column("label").to_numpy().astype(np.float32)
-    order = np.lexsort((*chunks[:, :16].T[::-1], rows.column("doc_id").to_numpy()))
     net = Net()
-    net.fit(chunks[order], target[order])
+    net.fit(chunks, target[owner], (len(owner) / len(n) / n).astype(np.float32)[owner])
     return net
 
 
+def _scores(net: Net | None, column: pa.Array, tables: np.ndarray | None) -> np.ndarray:
+    return net.scores(*utf8(column), tables) if net else np.full(len(column), 0.5)
+
+
 def _score(net: Net | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
-        for part in slices(batches, "text", 1 << 19):
-            score = net.scores(*utf8(part.column("text")), tables) if net else np.full(part.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in part.schema.names), pa.array(score)], [*part.schema.names, "score"])
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_scores(net, part.column("text"), tables))], ["doc_id", "score"])
+
+    return run
+
+
+def _filter(net: Net | None, text_col: str, threshold: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = net.tables() if net else None
+        for part in slices(batches, text_col):
+            yield part.filter(pa.array(_scores(net, part.column(text_col), tables) >= threshold))
 
     return run
 
@@ -181,17 +198,15 @@ def score_texts(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_c
     """(doc_id, score) of every row of ``docs``."""
     bound_batches(docs)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(_score(net), "doc_id long, text string, score double").select("doc_id", "score")
+    return rows.mapInArrow(_score(net), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score the threshold or more, all columns kept."""
     bound_batches(docs)
     net = train(docs, labels, id_col, text_col)
-    rows = docs if text_col == "text" else docs.withColumnRenamed(text_col, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    kept = rows.mapInArrow(_score(net), f"{schema}, score double").where(F.col("score") >= threshold).drop("score")
-    return kept if text_col == "text" else kept.withColumnRenamed("text", text_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(_filter(net, text_col, threshold), schema)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -159,11 +159,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:int,stop:int>>")
 
 
-def _redact(mark: str):
+def _redact(text_col: str, mark: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, text_col, 4 << 20):
             texts = []
-            for t in part.column("text").to_pylist():
+            for t in part.column(text_col).to_pylist():
                 spans = find_spans(t) if t else []
                 if spans:
                     pieces, at = [], 0
@@ -174,7 +174,7 @@ def _redact(mark: str):
                         at = b
                     t = "".join([*pieces, t[at:]])
                 texts.append(t)
-            arrays = [pa.array(texts, pa.string()) if n == "text" else part.column(n) for n in part.schema.names]
+            arrays = [pa.array(texts, pa.string()) if n == text_col else part.column(n) for n in part.schema.names]
             yield pa.RecordBatch.from_arrays(arrays, part.schema.names)
 
     return run
@@ -183,10 +183,8 @@ def _redact(mark: str):
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[{}]") -> DataFrame:
     """The rows of ``docs`` with each span replaced by its kind in brackets."""
     bound_batches(docs)
-    rows = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = rows.mapInArrow(_redact(mark), schema)
-    return out.withColumnRenamed("text", text_col) if text_col != "text" else out
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(_redact(text_col, mark), schema)
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
