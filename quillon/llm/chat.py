@@ -9,7 +9,7 @@ A slice of turns is assembled at once: the pieces' lengths give cumulative offse
 and each kind of piece (headers, text between escapes, backslashes, footers) is
 copied by scatter indices into one preallocated Arrow buffer.
 
-Turns are range-partitioned by (conversation, turn), so a huge conversation spreads
+Turns are range-partitioned by (conversation, turn, role, start of the text), so a huge conversation spreads
 over many tasks; it comes out as fragments, rows of bounded size in order. Loss spans
 are byte ranges of the assistant texts in each fragment. Digests of a conversation
 need its bytes in order: fragments are streamed through one hash state, in constant
@@ -117,10 +117,10 @@ def assemble(roles: list[str], texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, np.append(starts, ends[-1:] if n else [0]), text_start, text_start + body
 
 
-def _format(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _format(batches: Iterable[pa.RecordBatch], fragment_bytes: int = FRAGMENT_BYTES) -> Iterator[pa.RecordBatch]:
     """Sorted turns to fragments; a fragment holds turns of one conversation."""
     part_number = 0
-    for part in slices(batches, "text", FRAGMENT_BYTES):
+    for part in slices(batches, "text", fragment_bytes):
         roles = [r or "" for r in part.column("role").to_pylist()]
         conv = part.column("conv_id").to_pylist()
         data, at, begin, stop = assemble(roles, part.column("text"))
@@ -140,12 +140,13 @@ def _format(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", fragment_bytes: int = FRAGMENT_BYTES) -> DataFrame:
     """Formatted fragments (conv_id, part, body, turns, loss); a conversation's fragments follow each other by ``part``."""
     bound_batches(turns)
     rows = turns.select(turns[conv_col].cast("long").alias("conv_id"), turns[turn_col].cast("long").alias("turn"), turns[role_col].alias("role"), turns[text_col].alias("text"))
-    dealt = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
-    found = dealt.mapInArrow(_format, FRAGMENTS)
+    start = F.substring("text", 1, 32)  # in the order of the texts: splits the turns of one number
+    dealt = rows.repartitionByRange("conv_id", "turn", "role", start).sortWithinPartitions("conv_id", "turn", "role", "text")
+    found = dealt.mapInArrow(lambda batches: _format(batches, fragment_bytes), FRAGMENTS)
     return found.withColumn("part", F.col("part") + F.shiftleft(F.spark_partition_id().cast("long"), 40))
 
 

@@ -1,13 +1,16 @@
 """Operator 2: media columns, PNG images in binary columns.
 
 Images are written and read without an imaging library: chunks with checksums, zlib
-and numpy filters. The reader takes 8-bit images of one to four samples a pixel with
-any of the five filters; a damaged image (signature, chunk checksum, length) raises.
+and numpy filters. A row is written with the filter None, Sub or Up that gives the least
+sum of absolute differences (all five on request); the reader undoes any of the five. It
+takes 8-bit images of one to four samples a pixel; a damaged image (signature, chunk
+checksum, length) raises.
 
 The feature is a 64-bit hash of low cosine-transform frequencies, as 16 hex digits.
 
 Defined cases: null and empty texts give one full row of padding; equal payloads give
-equal images and hashes; repeated rows are repeated; extra columns are ignored.
+equal images and hashes; repeated rows are repeated; extra columns are ignored. An image
+takes about ten bytes a sample while it is written or read.
 """
 
 from __future__ import annotations
@@ -36,49 +39,82 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def write_png(pixels: np.ndarray, level: int = 1) -> bytes:
-    """A PNG of an array (height, width) or (height, width, samples) of uint8."""
+def _around(lines: np.ndarray, bpp: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is left of, above, and above to the left of each sample; 0 outside of the image."""
+    height, width = lines.shape
+    frame = np.zeros((height + 1, width + bpp), np.uint8)
+    frame[1:, bpp:] = lines
+    return frame[1:, :width], frame[:-1, bpp:], frame[:-1, :width]
+
+
+def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    x, y, z = (v.astype(np.int16) for v in (a, b, c))
+    da, db, dc = abs(y - z), abs(x - z), abs(x + y - 2 * z)
+    return np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+
+
+def _filtered(lines: np.ndarray, bpp: int, kinds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, filtered samples) of each row: the kind with the least sum of absolute differences."""
+    a, b, c = _around(lines, bpp)
+    guess = {0: lambda: np.uint8(0), 1: lambda: a, 2: lambda: b, 3: lambda: ((a.astype(np.int16) + b) >> 1).astype(np.uint8), 4: lambda: _paeth(a, b, c)}
+    tried = np.stack([lines - guess[k]() for k in kinds])
+    weight = np.minimum(tried, 0 - tried).sum(axis=2, dtype=np.int64)
+    best = weight.argmin(axis=0)
+    return np.array(kinds, np.uint8)[best], tried[best, np.arange(len(lines))]
+
+
+def write_png(pixels: np.ndarray, level: int = 1, kinds: tuple[int, ...] = (0, 1, 2)) -> bytes:
+    """A PNG of an array (height, width) or (height, width, samples) of uint8; ``kinds`` are the row filters to choose from."""
     height, width = pixels.shape[:2]
     samples = 1 if pixels.ndim == 2 else pixels.shape[2]
     color = {v: k for k, v in SAMPLES.items()}[samples]
     raw = np.zeros((height, 1 + width * samples), np.uint8)
-    raw[:, 1:] = pixels.reshape(height, -1)
+    raw[:, 0], raw[:, 1:] = _filtered(pixels.reshape(height, -1), samples, kinds)
     head = struct.pack(">IIBBBBB", width, height, 8, color, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
 def _unfilter(lines: np.ndarray, filters: np.ndarray, bpp: int) -> np.ndarray:
-    """Undoes the row filters; Sub is a running sum by sample, Up a sum of rows."""
-    if not filters.any():
-        return lines
-    out = np.zeros_like(lines)
-    above = np.zeros(lines.shape[1], np.uint8)
-    for y, (kind, line) in enumerate(zip(filters.tolist(), lines, strict=True)):
-        if kind == 0:
-            row = line
-        elif kind == 1:
-            row = np.cumsum(line.reshape(-1, bpp), axis=0, dtype=np.uint8).reshape(-1)
-        elif kind == 2:
-            row = line + above
-        elif kind in (3, 4):
-            row = np.zeros_like(line)
-            up, got, src = above.astype(int).tolist(), [0] * (len(line) + bpp), line.tolist()
-            for i, value in enumerate(src):
-                a, b = got[i], up[i]
-                if kind == 3:
-                    guess = (a + b) >> 1
-                else:
-                    c = up[i - bpp] if i >= bpp else 0
-                    pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
-                got[i + bpp] = (value + guess) & 255
-            row[:] = got[bpp:]
-        else:
-            raise ValueError(f"row filter {kind}")
-        out[y] = above = row
+    """Undoes the row filters: Sub is a running sum by sample, Up a sum of rows, Average and Paeth go by diagonals."""
+    if filters.max(initial=0) > 4:
+        raise ValueError(f"row filter {filters.max()}")
+    out = lines.copy()
+    sub = filters == 1
+    height, width = lines.shape
+    out[sub] = np.cumsum(lines[sub].reshape(-1, width // bpp, bpp), axis=1, dtype=np.uint8).reshape(-1, width)
+    y = 0
+    while y < height:
+        kind, stop = filters[y], y + 1
+        if kind == 2:
+            while stop < height and filters[stop] == 2:
+                stop += 1
+            if y:
+                out[y] += out[y - 1]
+            out[y:stop] = np.cumsum(out[y:stop], axis=0, dtype=np.uint8)
+        elif kind > 2:
+            while stop < height and filters[stop] > 2:
+                stop += 1
+            above = out[y - 1] if y else np.zeros(width, np.uint8)
+            out[y:stop] = _diagonals(lines[y:stop], filters[y:stop], above, bpp)
+        y = stop
     return out
 
 
+def _diagonals(lines: np.ndarray, filters: np.ndarray, above: np.ndarray, bpp: int) -> np.ndarray:
+    """Undoes rows of Average and Paeth that follow each other: the pixels of a diagonal do not need each other."""
+    height, wide = lines.shape[0], lines.shape[1] // bpp
+    frame = np.zeros((height + 1, wide + 1, bpp), np.uint8)
+    frame[0, 1:] = above.reshape(wide, bpp)
+    source, average = lines.reshape(height, wide, bpp), (filters == 3)[:, None]
+    for d in range(height + wide - 1):
+        y = np.arange(max(0, d - wide + 1), min(height, d + 1))
+        x = d - y
+        a, b, c = frame[y + 1, x], frame[y, x + 1], frame[y, x]
+        mean = ((a.astype(np.int16) + b) >> 1).astype(np.uint8)
+        frame[y + 1, x + 1] = source[y, x] + np.where(average[y], mean, _paeth(a, b, c))
+    return frame[1:, 1:].reshape(height, -1)
+
+
 def read_png(image: bytes) -> np.ndarray:
     """The pixels of an 8-bit PNG; ValueError if it is damaged."""
     if image[:8] != SIGNATURE:
