@@ -63,16 +63,18 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no later step reads."""
+        """Deletes tables that no later step reads, and the shuffle files of the plans that made them."""
         for name in names:
             _delete(self.spark, f"{self.root}/{name}")
             self.tables.discard(name)
+        if names:
+            self.free_shuffles()
 
     def keep(self, name: str) -> None:
         """Deletes all tables but one."""
         self.drop(*(self.tables - {name}))
 
     def free_shuffles(self) -> None:
-        """Lets Spark delete the shuffle files of finished steps, which it does for plans that are garbage."""
+        """Lets Spark delete the shuffle files of finished steps: it does so once their plans are garbage."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
