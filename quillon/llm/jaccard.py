@@ -3,21 +3,20 @@
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets of a
 and b elements with Jaccard similarity num / den or more differ in at most
 k = (den - num) * (a + b) / (den + num) elements. The hash domain of a size level (sets
-of at most s elements, s a power of two) is cut into s / 4 groups of three parts, and the
-two-part subsets of a group are enumerated: a group that holds at most one differing
-part gives both sets the same signature. Levels follow the larger set, so a set whose
+of at most s elements, s a power of two) is cut into s / 4 groups of two parts, and the
+one-part subsets of a group are enumerated: a group that holds at most one differing
+element gives both sets the same signature. Levels follow the larger set, so a set whose
 partners may reach the next level is signed for both. Sets of at most 64 shingles sign
 each shingle by itself as well.
 
-How many groups a set signs follows from its size, and no similar pair is missed. A
-differing pair of parts costs a group with two or three parts in use two differing
-elements, one with a single part one. A set signs its groups in order until those
-before cost more than k + 2 * ``SPARE`` elements. The groups that a similar pair loses
-cost at most k in both sets, so both sign the first ``SPARE`` + 1 groups that they share.
-A set may therefore leave out its ``SPARE`` hottest signatures (prefix filtering by bucket
-size), fewer if its groups are used up; of single-shingle signatures all but a quarter.
-A set whose groups together cost no more than k cannot be signed; that does not occur
-with hashed shingles, but such sets are found and compared with all sets of their size.
+How many parts a set signs follows from its size, and no similar pair is missed. A
+differing element spoils one part. A set signs its parts in use, in order, until more
+than k + ``SPARE`` of them: of the parts that a similar pair shares, both then sign the
+first ``SPARE`` + 1, as at most k spoiled ones come before them in either set. A set may
+therefore leave out its ``SPARE`` hottest signatures (prefix filtering by bucket size),
+fewer where it has few parts in use; of single-shingle signatures all but a quarter. A
+set with no more than k parts in use cannot be signed; that does not occur with hashed
+shingles, but such sets are found and compared with all sets of their size.
 
 Equal sets are merged first. Star rounds then compare each set with one hub of its
 buckets, which collapses groups of near copies without their pairs; in the last round
@@ -50,10 +49,9 @@ from quillon.scratch import Scratch
 from quillon.llm.session import bound_batches
 from quillon.llm.textkernel import SLICE_BYTES, Words, mix, parts_of, signed, slices, utf8
 
-WIDTH, TINY, SPLIT, SPARE, STARS = 5, 64, 256, 8, 2
+WIDTH, TINY, SPLIT, SPARE, STARS = 5, 64, 256, 16, 2
 NARROW, WIDE, BIG = 16, 128, 400
 LONG_TEXT = 8 * SLICE_BYTES
-_SUBSETS = ((0, 1), (0, 2), (1, 2))
 _BASE = "doc_id long, text string, n_shingles long, spare int, d1 long, d2 long"
 
 
@@ -101,72 +99,52 @@ def budgets(size: np.ndarray, lv: np.ndarray, num: int, den: int) -> np.ndarray:
     return (den - num) * (size + largest) // (den + num)
 
 
-class Groups:
-    """The groups of the rows' sets at one level each: their parts' sums, and what it costs to lose them."""
+class Parts:
+    """The parts in use of the rows' sets at one level each, their signatures and places among a row's parts."""
 
     def __init__(self, flat: np.ndarray, offsets: np.ndarray, levels: np.ndarray):
         row = np.repeat(np.arange(len(levels)), np.diff(offsets))
         use = levels[row] > 0
         row, flat = row[use], flat[use]
-        bits = levels[row].astype(np.uint64) + np.uint64(4)  # a level has s / 4 = 16 * 2**j groups
-        group = flat >> (np.uint64(64) - bits)
-        rest = (flat << bits) >> np.uint64(32)
-        part = ((rest * np.uint64(3)) >> np.uint64(32)).astype(np.int64)
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (group[1:] != group[:-1])
-        number = np.cumsum(new) - 1
-        cell = number * 3 + part
-        head = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-        self.row, self.group = row[new], group[new]
-        self.sums = np.zeros((len(self.row), 3), np.uint64)
-        if len(head):
-            self.sums.reshape(-1)[cell[head]] = np.add.reduceat(mix(flat), head)
-        self.cost = np.minimum((self.sums != 0).sum(axis=1), 2)
-        total = np.cumsum(self.cost)
-        first = np.searchsorted(self.row, self.row)
-        self.before = total - self.cost - (total[first] - self.cost[first]) if len(total) else total
-        self.total = np.bincount(self.row, weights=self.cost, minlength=len(levels)).astype(np.int64)
-
-    def signatures(self, levels: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, signature) of the groups before which at most ``most`` (a row's number) is lost."""
-        take = self.before <= most[self.row]
-        row, sums = self.row[take], self.sums[take]
-        label = self.group[take] * np.uint64(64) + levels[row].astype(np.uint64)
-        rows, sigs = [], []
-        for k, (a, b) in enumerate(_SUBSETS):
-            full = (sums[:, a] | sums[:, b]) != 0
-            rows.append(row[full])
-            total = sums[:, a] + mix(sums[:, b] + np.uint64(1))
-            sigs.append(mix(total ^ mix(label * np.uint64(4) + np.uint64(k)))[full] & ~np.uint64(1))
-        return np.concatenate(rows), np.concatenate(sigs)
+        part = flat >> (np.uint64(59) - levels[row].astype(np.uint64))  # a level has s / 2 = 32 * 2**j parts
+        head = np.ones(len(row), bool)
+        head[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
+        head = np.flatnonzero(head)
+        self.row = row[head]
+        label = part[head] * np.uint64(64) + levels[self.row].astype(np.uint64)
+        total = np.add.reduceat(mix(flat), head) if len(head) else flat
+        self.signature = mix(total ^ mix(label)) & ~np.uint64(1)
+        self.total = np.bincount(self.row, minlength=len(levels))
+        self.before = np.arange(len(head)) - (np.cumsum(self.total) - self.total)[self.row]
 
 
 def _levels(size: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """The own level of each set, and the next one where partners may reach it (0: no groups)."""
+    """The own level of each set, and the next one where partners may reach it (0: no parts)."""
     own, ahead = level(size), level(size * den // num)
     return [np.where(size > 0, own, 0), np.where((size > 0) & (ahead != own), ahead, 0)]
 
 
 def spares(flat: np.ndarray, offsets: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures that each set may leave out; -1 where its groups are too few for any guarantee."""
+    """Signatures that each set may leave out; -1 where it has too few parts for any guarantee."""
     size = np.diff(offsets)
     out = np.full(len(size), SPARE)
     for lv in _levels(size, num, den):
-        room = Groups(flat, offsets, lv).total - budgets(size, lv, num, den)
-        out = np.where(lv > 0, np.minimum(out, (room + 1) // 2 - 1), out)
+        room = Parts(flat, offsets, lv).total - budgets(size, lv, num, den) - 1
+        out = np.where(lv > 0, np.minimum(out, room), out)
     return np.maximum(out, -1)
 
 
 def signatures(flat: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature): odd ones of single shingles, even ones of groups."""
+    """(row, signature): odd ones of single shingles, even ones of parts."""
     size = np.diff(offsets)
     row = np.repeat(np.arange(len(size)), size)
     tiny = size[row] <= TINY
     rows, sigs = [row[tiny]], [mix(flat[tiny] + np.uint64(0x5DEECE66D)) | np.uint64(1)]
     for lv in _levels(size, num, den):
-        more_rows, more = Groups(flat, offsets, lv).signatures(lv, budgets(size, lv, num, den) + 2 * SPARE)
-        rows.append(more_rows)
-        sigs.append(more)
+        parts = Parts(flat, offsets, lv)
+        take = parts.before <= budgets(size, lv, num, den)[parts.row] + SPARE
+        rows.append(parts.row[take])
+        sigs.append(parts.signature[take])
     return np.concatenate(rows), np.concatenate(sigs)
 
 
@@ -324,7 +302,7 @@ def _unsigned(sets: DataFrame, num: int, den: int) -> DataFrame | None:
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links: den * |A n B| >= num * |A u B|.
 
-    ``num / den`` may be 3/4 or more: the levels have groups for that. The steps run
+    ``num / den`` may be 3/4 or more: the levels have parts enough for that. The steps run
     when the function is called; the result reads one table.
     """
     bound_batches(docs)
