@@ -282,11 +282,10 @@ def _stars(mixed: DataFrame, sets: DataFrame, turn: int, near: str) -> DataFrame
 
 
 def _pairs(mixed: DataFrame, sets: DataFrame, near: str) -> DataFrame:
-    """Pairs (a < b) of sets in one bucket and in different components, each made in the least bucket that both are in."""
-    held = mixed.groupBy("id").agg(F.collect_set("sig").alias("held"))
-    rows = mixed.select("sig", "id", "c").join(sets, "id").join(held, "id")
-    able = f"x.sig = y.sig and x.id < y.id and x.c <> y.c and {near} and array_min(array_intersect(x.held, y.held)) = x.sig"
-    return rows.alias("x").join(rows.alias("y"), F.expr(able)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    """Pairs (a < b) of sets in one bucket and in different components; only ids go through the buckets."""
+    rows = mixed.select("sig", "id", "c")
+    met = rows.alias("x").join(rows.alias("y"), F.expr("x.sig = y.sig and x.id < y.id and x.c <> y.c")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return met.join(sets.alias("x"), F.expr("a = x.id")).join(sets.alias("y"), F.expr("b = y.id")).where(near).select("a", "b")
 
 
 def _unsigned(sets: DataFrame, num: int, den: int) -> DataFrame | None:
