@@ -3,7 +3,7 @@
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets of a
 and b elements with Jaccard similarity num / den or more differ in at most
 k = (den - num) * (a + b) / (den + num) elements. The hash domain of a size level (sets
-of at most s elements, s a power of two) is cut into s / 4 groups of two parts, and the
+of at most s elements, s = 64 * 4**j) is cut into s / 4 groups of two parts, and the
 one-part subsets of a group are enumerated: a group that holds at most one differing
 element gives both sets the same signature. Levels follow the larger set, so a set whose
 partners may reach the next level is signed for both. Sets of at most 64 shingles sign
@@ -11,16 +11,18 @@ each shingle by itself as well.
 
 How many parts a set signs follows from its size, and no similar pair is missed. A
 differing element spoils one part. A set signs its parts in use, in order, until more
-than k + ``SPARE`` of them: of the parts that a similar pair shares, both then sign the
-first ``SPARE`` + 1, as at most k spoiled ones come before them in either set. A set may
-therefore leave out its ``SPARE`` hottest signatures (prefix filtering by bucket size),
-fewer where it has few parts in use; of single-shingle signatures all but a quarter. A
-set with no more than k parts in use cannot be signed; that does not occur with hashed
+than k + r of them, where r is ``SPARE`` and a sixteenth of its size: of the parts that a
+similar pair shares, both then sign the first r + 1, as at most k spoiled ones come
+before them in either set. A set may therefore leave out its r hottest signatures
+(prefix filtering by bucket size; fewer where it has few parts in use), so a passage that
+many texts share makes no pairs of texts in which it is a small part. Of single-shingle
+signatures all but a quarter are left out. A set with no more than k parts in use cannot be signed; that does not occur with hashed
 shingles, but such sets are found and compared with all sets of their size.
 
 Equal sets are merged first. Star rounds then compare each set with one hub of its
 buckets, which collapses groups of near copies without their pairs; in the last round
-the sets of one bucket that are still in different components are compared. Two sets
+the sets of one bucket that are still in different components are compared; in buckets
+of more than ``FEW`` sets only pairs pass whose bitmaps are near. Two sets
 are compared at all only if bitmaps of their hashes differ in no more bits than similar
 sets can (an exact bound). Every comparison counts the shared hashes of two whole
 texts, in the compared set's partition, salted where one set has many partners. Rows are
@@ -49,7 +51,7 @@ from quillon.scratch import Scratch
 from quillon.llm.session import bound_batches
 from quillon.llm.textkernel import SLICE_BYTES, Words, mix, parts_of, signed, slices, utf8
 
-WIDTH, TINY, SPLIT, SPARE, STARS = 5, 64, 256, 16, 2
+WIDTH, TINY, SPLIT, SPARE, STARS, FEW = 5, 64, 256, 16, 2, 8
 NARROW, WIDE, BIG = 16, 128, 400
 LONG_TEXT = 8 * SLICE_BYTES
 _BASE = "doc_id long, text string, n_shingles long, spare int, d1 long, d2 long"
@@ -89,16 +91,21 @@ def shingle_sets(column: pa.Array, width: int = WIDTH, limit: int = LONG_TEXT) -
 
 
 def level(size: np.ndarray) -> np.ndarray:
-    """j of the level of sets of at most 64 * 2**j elements; 0 for all that are not larger than 64."""
-    return np.maximum(np.frexp(np.maximum(size, 1) - 0.5)[1] - 6, 0)
+    """j of the level of sets of at most 64 * 4**j elements; 0 for all that are not larger than 64."""
+    return np.maximum(np.frexp(np.maximum(size, 1) - 0.5)[1] - 5, 0) // 2
 
 
 def budgets(size: np.ndarray, lv: np.ndarray, num: int, den: int) -> np.ndarray:
     """Most elements in which a set can differ from a similar one of the level, which is not smaller."""
-    largest = np.minimum(size * den // num, TINY << lv)
+    largest = np.minimum(size * den // num, TINY << (2 * lv))
     return (den - num) * (size + largest) // (den + num)
 
 
+def reserve(size: np.ndarray) -> np.ndarray:
+    """How many signatures beyond its budget a set gives, to leave out as many."""
+    return SPARE + size // 16
+
+
 class Parts:
     """The parts in use of the rows' sets at one level each, their signatures and places among a row's parts."""
 
@@ -106,7 +113,7 @@ class Parts:
         row = np.repeat(np.arange(len(levels)), np.diff(offsets))
         use = levels[row] > 0
         row, flat = row[use], flat[use]
-        part = flat >> (np.uint64(59) - levels[row].astype(np.uint64))  # a level has s / 2 = 32 * 2**j parts
+        part = flat >> (np.uint64(59) - np.uint64(2) * levels[row].astype(np.uint64))  # a level has s / 2 = 32 * 4**j parts
         head = np.ones(len(row), bool)
         head[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
         head = np.flatnonzero(head)
@@ -127,7 +134,7 @@ def _levels(size: np.ndarray, num: int, den: int) -> list[np.ndarray]:
 def spares(flat: np.ndarray, offsets: np.ndarray, num: int, den: int) -> np.ndarray:
     """Signatures that each set may leave out; -1 where it has too few parts for any guarantee."""
     size = np.diff(offsets)
-    out = np.full(len(size), SPARE)
+    out = reserve(size)
     for lv in _levels(size, num, den):
         room = Parts(flat, offsets, lv).total - budgets(size, lv, num, den) - 1
         out = np.where(lv > 0, np.minimum(out, room), out)
@@ -142,7 +149,7 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tup
     rows, sigs = [row[tiny]], [mix(flat[tiny] + np.uint64(0x5DEECE66D)) | np.uint64(1)]
     for lv in _levels(size, num, den):
         parts = Parts(flat, offsets, lv)
-        take = parts.before <= budgets(size, lv, num, den)[parts.row] + SPARE
+        take = parts.before <= (budgets(size, lv, num, den) + reserve(size))[parts.row]
         rows.append(parts.row[take])
         sigs.append(parts.signature[take])
     return np.concatenate(rows), np.concatenate(sigs)
@@ -243,12 +250,17 @@ def _verify(bodies: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
     return dealt.mapInArrow(_compare(num, den), "src long, dst long")
 
 
-def _near(x: str, y: str, num: int, den: int) -> str:
-    """Whether two sets can be similar: their bitmaps differ in at most as many bits as the sets may in elements."""
-    differ = " + ".join(f"bit_count({x}.bits[{i}] ^ {y}.bits[{i}])" for i in range(NARROW))
+def _differ(x: str, y: str, num: int, den: int) -> tuple[str, str]:
+    """Whether two sets can be similar by their narrow and wide bitmaps, which differ in at most as many bits as the sets in elements."""
+    narrow = " + ".join(f"bit_count({x}.bits[{i}] ^ {y}.bits[{i}])" for i in range(NARROW))
     wide = f"aggregate(zip_with({x}.wide, {y}.wide, (p, q) -> bit_count(p ^ q)), 0, (t, v) -> t + v)"
     most = f"{den - num} * ({x}.n_shingles + {y}.n_shingles)"
-    return f"case when {den + num} * ({differ}) > {most} then false when {x}.wide is null or {y}.wide is null then true else {den + num} * {wide} <= {most} end"
+    return f"{den + num} * ({narrow}) <= {most}", f"{den + num} * {wide} <= {most}"
+
+
+def _near(x: str, y: str, num: int, den: int) -> str:
+    narrow, wide = _differ(x, y, num, den)
+    return f"case when not ({narrow}) then false when {x}.wide is null or {y}.wide is null then true else {wide} end"
 
 
 def _prefixes(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -281,10 +293,15 @@ def _stars(mixed: DataFrame, sets: DataFrame, turn: int, near: str) -> DataFrame
     return best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def _pairs(mixed: DataFrame, sets: DataFrame, near: str) -> DataFrame:
-    """Pairs (a < b) of sets in one bucket and in different components; only ids go through the buckets."""
-    rows = mixed.select("sig", "id", "c")
-    met = rows.alias("x").join(rows.alias("y"), F.expr("x.sig = y.sig and x.id < y.id and x.c <> y.c")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def _pairs(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a < b) of sets in one bucket and in different components; bitmaps go through the hot buckets alone."""
+    slim = mixed.where(F.col("n") <= FEW).select("sig", "id", "c")
+    hot = mixed.where(F.col("n") > FEW).select("sig", "id", "c").join(sets.select("id", "n_shingles", "bits"), "id")
+    other = "x.sig = y.sig and x.id < y.id and x.c <> y.c"
+    few = slim.alias("x").join(slim.alias("y"), F.expr(other))
+    many = hot.alias("x").join(hot.alias("y"), F.expr(f"{other} and {_differ('x', 'y', num, den)[0]}"))
+    met = few.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(many.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).distinct()
+    near = _near("x", "y", num, den)
     return met.join(sets.alias("x"), F.expr("a = x.id")).join(sets.alias("y"), F.expr("b = y.id")).where(near).select("a", "b")
 
 
@@ -334,7 +351,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for turn in range(STARS + 1):
         parted = kept.withColumn("c", F.col("id")) if roots is None else kept.join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("c"))
         mixed = scratch.write(f"mixed{turn}", _mixed(parted))
-        pairs = _stars(mixed, bitmaps, turn, near) if turn < STARS else _pairs(mixed, bitmaps, near)
+        pairs = _stars(mixed, bitmaps, turn, near) if turn < STARS else _pairs(mixed, bitmaps, num, den)
         if unsigned is not None and turn == STARS:
             pairs = pairs.unionByName(unsigned).distinct()
         pairs = scratch.write(f"pairs{turn}", pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))

@@ -100,7 +100,7 @@ def test_jaccard_texts_of_one_id(spark):
 def test_signatures_miss_no_similar_pair():
     """Pairs as far apart as the threshold allows share a kept signature, whatever others drop."""
     rng = np.random.Generator(np.random.PCG64(9))
-    for size in [*range(1, 10), 40, 48, 49, 63, 64, 65, 85, 86, 97, 127, 128, 129, 171, 172, 200, 256, 257, 300, 511, 513, 1000, 3000] * 3:
+    for size in [*range(1, 10), 40, 48, 49, 63, 64, 65, 85, 86, 97, 127, 128, 129, 171, 172, 200, 255, 256, 257, 300, 342, 768, 1000, 1023, 1025, 3000] * 3:
         pool = rng.integers(0, 2**64, 3 * size + 8, dtype=np.uint64)
         shared = pool[:size]
         for extra_a in {0, (size // 3) // 2, size // 3}:
