@@ -42,11 +42,14 @@ RUNS = """select case l_returnflag when 'A' then 'AE' when 'N' then 'PS' else 'S
 ACQUISITIONS = """select user_id as aoi, case event_type when 'purchase' then 'Aerial' when 'view' then 'Sentinel-2' when 'click' then 'PS' else 'Other' end as sensor,
  cast(ts as timestamp) as t, event_id from events"""
 
-WEATHER = """select event_id, cast(ts as timestamp) as ts, value - 40*floor(value/40) - 5 as temp, value - 40*floor(value/40) - 5 - cast(event_id % 7 as double) as dew,
- cast(event_id % 5 as double) as wind, cast(user_id % 6 as int) as sky, case event_id % 9 when 0 then -1 when 1 then -9999 else cast(event_id % 4 as int) end as precip,
+_TEMP = "cast(floor((value - 40*floor(value/40) - 5)*10) as int)"
+WEATHER = f"""select event_id, cast(ts as timestamp) as ts, case event_id % 31 when 7 then -9999 else {_TEMP} end as temp, {_TEMP} - cast(event_id % 70 as int) as dew,
+ 10130 as pressure, case event_id % 13 when 5 then -9999 else cast(event_id % 5 * 9 as int) end as wind, case event_id % 11 when 3 then -9999 else cast(user_id % 6 as int) end as sky,
+ case event_id % 9 when 0 then -1 when 1 then -9999 else cast(event_id % 4 as int) end as precip_1h, case event_id % 7 when 0 then -1 when 1 then -9999 else cast(event_id % 6 as int) end as precip_6h,
  cast((event_id*30) % 390 as int) as wind_dir from events"""
 
 SCENES = """select l_suppkey as aoi, l_orderkey as scene, l_linenumber as part, l_partkey % 20 as strip, cast(l_shipdate as timestamp) as acquired, l_discount*8 as cloud,
+ case when l_linenumber = 7 then null else cast(l_partkey % 101 as double) end as scene_cloud,
  cast(l_partkey % 100 as int) as first_cell, cast(l_partkey % 100 + l_linenumber as int) as last_cell, l_extendedprice as price from lineitem"""
 
 TRAIN_LOG = """select l_suppkey as run, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) as epoch,
@@ -55,6 +58,7 @@ TRAIN_LOG = """select l_suppkey as run, row_number() over (partition by l_suppke
 HISTORICAL = """select p_partkey as id, case p_size % 6 when 0 then 'a' when 1 then 'b' when 2 then 'c' when 3 then 'ap' when 4 then 'hso' else null end as type_flux,
  cast(p_size as double) as length_cm, p_size*cast(0.7 as double)+cast(p_partkey % 5 as double) as width_cm from part"""
 
+#: Nine groups (three datasets by three models): the first nine places of each vector; the others are no groups.
 DRAWS_ORACLE = "select cast(vec_id as bigint) as sample, cast(unnest(range(9)) as bigint) as grp, cast(embedding[unnest(range(1,10))] as double) as value from embeddings"
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()

@@ -47,8 +47,25 @@ def odds(p: Column, eps: float = 1e-12) -> Column:
 
 
 def evidence_label(bf: Column) -> Column:
-    """the usual evidence scale (fixed values)."""
-    return F.when(bf > 100, "extreme").when(bf > 30, "very strong").when(bf > 10, "strong").when(bf > 3, "moderate").when(bf > 1, "anecdotal").when(bf > 1 / 3, "anecdotal for null").otherwise("for null")
+    """verbal label of a Bayes factor (cuts and labels are fixed values); a cut belongs to the stronger label."""
+    labels = [
+        (1 / 10, "strong evidence for H0 (no effect)"), (1 / 3, "moderate evidence for H0"), (1.0, "anecdotal evidence for H0"),
+        (3.0, "anecdotal evidence for H1 (effect)"), (10.0, "moderate evidence for H1"), (30.0, "strong evidence for H1"), (100.0, "very strong evidence for H1"),
+    ]
+    out = F.when(bf.isNull(), F.lit(None).cast("string"))
+    for cut, label in labels:
+        out = out.when(bf < cut, label)
+    return out.otherwise("extreme evidence for H1")
+
+
+def jeffreys_label(bf: Column) -> Column:
+    """Five verbal levels of a Bayes factor above 1 (fixed values)."""
+    return F.when(bf < 3, "anecdotal").when(bf < 10, "moderate").when(bf < 30, "strong").when(bf < 100, "very strong").otherwise("extreme")
+
+
+#: The metrics between 0 and 1, and those of which more is better (fixed values).
+BOUNDED = ("IoU", "dice_coef", "normalized_surface_distance", "mean_epistemic_uncertainty", "mean_aleatoric_uncertainty")
+MAXIMIZE = ("IoU", "dice_coef")
 
 
 def base_metric(name: Column) -> Column:
@@ -56,6 +73,16 @@ def base_metric(name: Column) -> Column:
     return F.regexp_replace(name, "^val_", "")
 
 
+def is_bounded(name: Column) -> Column:
+    """whether a metric lies between 0 and 1."""
+    return base_metric(name).isin(*BOUNDED)
+
+
+def higher_is_better(name: Column) -> Column:
+    """whether more of a metric is better."""
+    return base_metric(name).isin(*MAXIMIZE)
+
+
 def utm_epsg(lon: Column, lat: Column) -> Column:
     """F17."""
     zone = F.floor((lon + 180) / 6) + 1

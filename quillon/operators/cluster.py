@@ -1,4 +1,4 @@
-"""Point clustering inside images."""
+"""Point clustering inside images (C1-C5, C8); the steps that need components run when a function is called."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.graph import connected_components
 from quillon.operators.spatial import argbest, dist2, nearest_join, range_join
+from quillon.scratch import Scratch
 
 KEY = ["image", "bubble_id"]
 
@@ -32,12 +33,17 @@ def lonely_cluster(clustered: DataFrame, r_in: float, r_halo: float, max_halo: i
     A point counts as unattached if its cluster id is its own, even if it is an anchor
     that owns satellites; ``strict_singletons`` leaves such anchors out.
     """
-    size = F.count("*").over(Window.partitionBy("image", "cluster_id"))
-    alone = clustered.withColumn("_n", size).where("cluster_id = bubble_id" + (" and _n = 1" if strict_singletons else ""))
+    scratch = Scratch(clustered.sparkSession, "lonely")
+    clustered = scratch.write("clustered", clustered)
+    alone = clustered.where("cluster_id = bubble_id")
+    if strict_singletons:
+        alone = alone.join(clustered.groupBy("image", "cluster_id").count().where("count = 1"), ["image", "cluster_id"], "left_semi")
     points = alone.select("image", "bubble_id", "x", "y", "area")
-    member = points.join(_components(points, r_in), KEY)
-    weight = F.sum("area")
-    center = member.groupBy("image", "root").agg((F.sum(F.col("x") * F.col("area")) / weight).alias("x"), (F.sum(F.col("y") * F.col("area")) / weight).alias("y"), F.max_by("bubble_id", F.struct("area", -F.col("bubble_id"))).alias("new_id"))
+    member = scratch.write("member", points.join(_components(points, r_in), KEY))
+    total = F.sum("area")
+    weight = F.when(total > 0, total).otherwise(F.lit(1.0))
+    biggest = F.max_by("bubble_id", F.struct("area", -F.col("bubble_id"))).alias("new_id")
+    center = member.groupBy("image", "root").agg((F.sum(F.col("x") * F.col("area")) / weight).alias("x"), (F.sum(F.col("y") * F.col("area")) / weight).alias("y"), biggest)
     near = range_join(center, clustered.select("image", "bubble_id", "x", "y"), ["image"], r_halo).select("image", "root", F.col("r_bubble_id").alias("bubble_id"))
     others = near.join(member.select("image", "root", "bubble_id"), ["image", "root", "bubble_id"], "left_anti").groupBy("image", "root").agg(F.count("*").alias("halo"))
     good = center.join(others, ["image", "root"], "left").where(F.coalesce("halo", F.lit(0)) < max_halo).select("image", "root", "new_id")
@@ -51,7 +57,7 @@ def local_max_anchor_cluster(bubbles: DataFrame, nms_radius: float, scale: float
     points = bubbles.select("image", "bubble_id", "x", "y", "area")
     bigger = range_join(points, points, ["image"], nms_radius).where("r_area > area or (r_area = area and r_bubble_id > bubble_id)").select("image", "bubble_id").distinct()
     flagged = bubbles.join(bigger.withColumn("_s", F.lit(True)), KEY, "left").withColumn("is_anchor", F.col("_s").isNull()).drop("_s")
-    return _attach(flagged, scale, None)
+    return _attach(Scratch(bubbles.sparkSession, "local_max").write("flagged", flagged), scale, None)
 
 
 def absolute_anchor_cluster(bubbles: DataFrame, anchor_area: float, scale: float, cap: float) -> DataFrame:
@@ -72,8 +78,9 @@ def _attach(flagged: DataFrame, scale: float, most: float | None) -> DataFrame:
 
 def density_merge(clustered: DataFrame, r_density: float, min_dense: int) -> DataFrame:
     """Singletons with ``min_dense`` neighbours merge with such singletons within twice the radius; id = least."""
-    size = F.count("*").over(Window.partitionBy("image", "cluster_id"))
-    alone = clustered.withColumn("_n", size).where("_n = 1").select("image", "bubble_id", "x", "y")
+    clustered = Scratch(clustered.sparkSession, "density").write("clustered", clustered)
+    single = clustered.groupBy("image", "cluster_id").count().where("count = 1")
+    alone = clustered.join(single, ["image", "cluster_id"], "left_semi").select("image", "bubble_id", "x", "y")
     everyone = clustered.select("image", "bubble_id", "x", "y")
     count = range_join(alone, everyone, ["image"], r_density).where("bubble_id <> r_bubble_id").groupBy(*KEY).agg(F.count("*").alias("n"))
     dense = alone if min_dense <= 0 else alone.join(count.where(F.col("n") >= min_dense).drop("n"), KEY)

@@ -62,10 +62,14 @@ def pairwise(draws: DataFrame) -> DataFrame:
     return a.join(b, "sample").where("a < b").withColumn("delta", F.col("va") - F.col("vb"))
 
 
-def composite(metrics: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted sum of values divided by the metric's overall deviation (not centred); metrics: (metric, sample, grp, value)."""
+def composite(metrics: DataFrame, weights: dict[str, float], lower: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted sum of values divided by the metric's overall deviation (not centred); metrics: (metric, sample, grp, value).
+
+    Of the metrics in ``lower`` less is better.
+    """
     total = sum(weights.values())
     scale = metrics.groupBy("metric").agg(F.stddev_pop("value").alias("s"))
-    w = F.element_at(F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, v / total))), F.col("metric"))
-    rows = metrics.join(scale, "metric").withColumn("v", w * F.col("value") / F.col("s"))
+    signed = {k: (-1 if k in lower else 1) * v / total for k, v in weights.items()}
+    w = F.element_at(F.create_map(*(F.lit(x) for k, v in signed.items() for x in (k, v))), F.col("metric"))
+    rows = metrics.join(scale, "metric").withColumn("v", w * F.col("value") / (F.col("s") + F.lit(1e-12)))
     return rows.groupBy("sample", "grp").agg(F.sum("v").alias("value"))

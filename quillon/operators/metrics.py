@@ -1,34 +1,51 @@
-"""Segmentation metrics and raster algebra over a pixel relation."""
+"""Segmentation metrics and raster algebra over a pixel relation."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EPS = 1e-9
+#: The divisors' guards: of summed counts, and of one image.
+EPS, IMAGE_EPS = 1e-9, 1e-6
 
 
 def confusion(pixels: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
-    """Tp, fp, fn, tn of each group; partial counts are combined map-side."""
+    """Tp, fp, fn, tn of each group; partial counts are combined map-side."""
     hit, yes = F.col("prob") >= threshold, F.col("gt") > 0
     return pixels.groupBy(*by).agg(F.count_if(hit & yes).alias("tp"), F.count_if(hit & ~yes).alias("fp"), F.count_if(~hit & yes).alias("fn"), F.count_if(~hit & ~yes).alias("tn"))
 
 
 def ratios(beta: float = 2.0) -> dict[str, Column]:
-    """Ratios of the four counts."""
+    """M1: ratios of the four summed counts."""
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     e, b = F.lit(EPS), F.lit(beta * beta)
     p, r = tp / (tp + fp + e), tp / (tp + fn + e)
     return {
         "dice": 2 * tp / (2 * tp + fp + fn + e), "iou": tp / (tp + fp + fn + e), "accuracy": (tp + tn) / (tp + fp + fn + tn + e), "sensitivity": r, "specificity": tn / (tn + fp + e),
-        "precision_": p, "f1": 2 * p * r / (p + r + e), "f_beta": (1 + b) * p * r / (b * p + r + e), "tversky": (tp + e) / (tp + 0.3 * fp + 0.7 * fn + e),
+        "precision_": p, "f1": 2 * p * r / (p + r + e), "f_beta": (1 + b) * p * r / (b * p + r + e),
     }
 
 
-def soft_overlap(pixels: DataFrame, eps: float = 1.0) -> DataFrame:
-    """M2-M4: soft dice and IoU of each image, from sums of products."""
-    inter, y, p = F.sum(F.col("gt") * F.col("prob")), F.sum("gt"), F.sum("prob")
-    return pixels.groupBy("image").agg(((2 * inter + eps) / (y + p + eps)).alias("soft_dice"), ((inter + eps) / (y + p - inter + eps)).alias("soft_iou"))
+def image_scores(pixels: DataFrame, beta: float = 2.0, alpha: float = 0.5, gamma: float = 0.5, eps: float = IMAGE_EPS) -> DataFrame:
+    """Scores of each image; dice, IoU, F1 and Tversky from the probabilities, the others from counts at 0.5.
+
+    F1 is the soft dice by definition; ``alpha`` and ``gamma`` weigh Tversky's false positives and negatives.
+    """
+    y, p, e, b = F.col("gt").cast("double"), F.col("prob"), F.lit(eps), F.lit(beta * beta)
+    hit, yes = p >= 0.5, F.col("gt") > 0
+    sums = pixels.groupBy("image").agg(
+        F.sum(y * p).alias("inter"), F.sum(y).alias("y"), F.sum(p).alias("p"), F.sum(p * (1 - y)).alias("sfp"), F.sum((1 - p) * y).alias("sfn"), F.count("*").alias("n"),
+        F.count_if(hit & yes).alias("tp"), F.count_if(hit & ~yes).alias("fp"), F.count_if(~hit & yes).alias("fn"), F.count_if(~hit & ~yes).alias("tn"),
+    )
+    c = F.col
+    dice = (2 * c("inter") + e) / (c("y") + c("p") + e)
+    prec, rec = (c("tp") + e) / (c("tp") + c("fp") + e), (c("tp") + e) / (c("tp") + c("fn") + e)
+    scores = {
+        "soft_dice": dice, "dice_loss": 1 - dice, "soft_iou": (c("inter") + e) / (c("y") + c("p") - c("inter") + e), "accuracy": (c("tp") + c("tn")) / c("n"),
+        "sensitivity": rec, "specificity": (c("tn") + e) / (c("tn") + c("fp") + e), "f1": dice, "f_beta": (1 + b) * prec * rec / (b * prec + rec + e),
+        "tversky": (c("inter") + e) / (c("inter") + alpha * c("sfp") + gamma * c("sfn") + e),
+    }
+    return sums.select("image", *(v.alias(k) for k, v in scores.items()))
 
 
 def neighbours(mask: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
@@ -68,6 +85,35 @@ def boundary_iou(truth: DataFrame, predicted: DataFrame, images: DataFrame) -> D
     return images.join(found, "image", "left").select("image", F.coalesce("v", F.lit(1.0)).alias("boundary_iou"))
 
 
+def surface_distances(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(image, side, d) of each surface pixel to the nearest pixel of the other surface; images with both surfaces.
+
+    Exact, and separable: the nearest pixel of each column first (running positions
+    down and up the rows), then the least sum of squares over the columns. A surface
+    pixel meets as many rows as the other surface has columns, not all of its pixels.
+    """
+    sides = {"pred": (surface(predicted), surface(truth)), "gt": (surface(truth), surface(predicted))}
+    out = None
+    for side, (own, other) in sides.items():
+        columns = other.groupBy("image", "c").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+        met = own.alias("a").join(columns.alias("b"), "image").select("image", F.col("a.r").alias("r"), F.col("a.c").alias("c"), F.col("b.c").alias("oc"), "rows")
+        near = F.array_min(F.transform("rows", lambda x: F.abs(x - F.col("r"))))
+        least = met.select("image", "r", "c", (near * near + (F.col("c") - F.col("oc")) * (F.col("c") - F.col("oc"))).alias("d2")).groupBy("image", "r", "c").agg(F.min("d2").alias("d2"))
+        part = least.select("image", F.lit(side).alias("side"), F.sqrt("d2").alias("d"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def hausdorff(truth: DataFrame, predicted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(image, assd, hd95); both surfaces empty 0, one empty the image's diagonal; sizes: (image, rows, cols)."""
+    per = surface_distances(truth, predicted).groupBy("image", "side").agg(F.avg("d").alias("m"), F.percentile("d", F.lit(0.95)).alias("q"))
+    both = per.groupBy("image").agg(F.avg("m").alias("assd"), F.max("q").alias("hd95"))
+    any_ = truth.select("image").unionByName(predicted.select("image")).distinct().withColumn("some", F.lit(True))
+    diagonal = F.when(F.col("some"), F.sqrt(F.col("rows") * F.col("rows") + F.col("cols") * F.col("cols"))).otherwise(0.0)
+    joined = sizes.join(both, "image", "left").join(any_, "image", "left")
+    return joined.select("image", F.coalesce("assd", diagonal).alias("assd"), F.coalesce("hd95", diagonal).alias("hd95"))
+
+
 def normalise_bands(pixels: DataFrame, bands: list[str], nodata: float | None = None) -> DataFrame:
     """Per-image z-scores of each band; a pixel with nodata in any band is null in all."""
     bad = F.lit(False)

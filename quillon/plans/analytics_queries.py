@@ -35,16 +35,30 @@ def plan(sql):
 
 
 _CONF = "count(*) filter (where prob >= 0.5 and gt > 0) as tp, count(*) filter (where prob >= 0.5 and gt = 0) as fp, count(*) filter (where prob < 0.5 and gt > 0) as fn, count(*) filter (where prob < 0.5 and gt = 0) as tn"
-_RATIOS = """2*tp/(2*tp+fp+fn+1e-9) as dice, tp/(tp+fp+fn+1e-9) as iou, (tp+tn)/(tp+fp+fn+tn+1e-9) as accuracy, tp/(tp+fn+1e-9) as sensitivity, tn/(tn+fp+1e-9) as specificity, tp/(tp+fp+1e-9) as precision_,
- 2*(tp/(tp+fp+1e-9))*(tp/(tp+fn+1e-9))/(tp/(tp+fp+1e-9)+tp/(tp+fn+1e-9)+1e-9) as f1, 5*(tp/(tp+fp+1e-9))*(tp/(tp+fn+1e-9))/(4*(tp/(tp+fp+1e-9))+tp/(tp+fn+1e-9)+1e-9) as f_beta, (tp+1e-9)/(tp+0.3*fp+0.7*fn+1e-9) as tversky"""
-_NAMES = ["dice", "iou", "accuracy", "sensitivity", "specificity", "precision_", "f1", "f_beta", "tversky"]
+_RATIOS = """2*tp/(2*tp+fp+fn+1e-9) as dice, tp/(tp+fp+fn+1e-9) as iou, (tp+tn)/(tp+fp+fn+tn+1e-9) as accuracy, tp/(tp+fn+1e-9) as sensitivity, tn/(tn+fp+1e-9) as specificity,
+ tp/(tp+fp+1e-9) as precision_, 2*(tp/(tp+fp+1e-9))*(tp/(tp+fn+1e-9))/(tp/(tp+fp+1e-9)+tp/(tp+fn+1e-9)+1e-9) as f1,
+ 5*(tp/(tp+fp+1e-9))*(tp/(tp+fn+1e-9))/(4*(tp/(tp+fp+1e-9))+tp/(tp+fn+1e-9)+1e-9) as f_beta"""
+_NAMES = ["dice", "iou", "accuracy", "sensitivity", "specificity", "precision_", "f1", "f_beta"]
 _R6 = ", ".join(f"round({n},6) as {n}" for n in _NAMES)
 
 
-@plan(f"with {_P}, c as (select image, {_CONF} from px group by image), q as (select image, {_RATIOS} from c) select image, {_R6} from q")
+_IMAGE = f"""with {_P}, c as (select image, sum(gt*prob) as i, sum(gt) as y, sum(prob) as p, sum(prob*(1-gt)) as sfp, sum((1-prob)*gt) as sfn, count(*) as n, {_CONF} from px group by image),
+ r as (select *, (2*i+1e-6)/(y+p+1e-6) as d, (tp+1e-6)/(tp+fp+1e-6) as pr, (tp+1e-6)/(tp+fn+1e-6) as re from c),
+ q as (select image, d as soft_dice, 1-d as dice_loss, (i+1e-6)/(y+p-i+1e-6) as soft_iou, (tp+tn)/n as accuracy, re as sensitivity, (tn+1e-6)/(tn+fp+1e-6) as specificity, d as f1,
+  5*pr*re/(4*pr+re+1e-6) as f_beta, (i+1e-6)/(i+0.5*sfp+0.5*sfn+1e-6) as tversky from r)"""
+_SCORES = ["soft_dice", "dice_loss", "soft_iou", "accuracy", "sensitivity", "specificity", "f1", "f_beta", "tversky"]
+
+
+@plan(f"{_IMAGE} select image, {', '.join(f'round({n},6) as {n}' for n in _SCORES)} from q")
 def image_metrics(spark, d):
-    """M5-M10, per image."""
-    return metrics.confusion(pixels(spark, d), ["image"]).select("image", *(F.round(c, 6).alias(n) for n, c in metrics.ratios().items()))
+    """M2-M10, per image."""
+    return metrics.image_scores(pixels(spark, d)).select("image", *r6(*_SCORES))
+
+
+@plan(f"{_IMAGE} select {', '.join(f'round(avg({n}),6) as {n}' for n in _SCORES)} from q")
+def epoch_metrics(spark, d):
+    """Means of the images' scores."""
+    return metrics.image_scores(pixels(spark, d)).agg(*(F.round(F.avg(n), 6).alias(n) for n in _SCORES))
 
 
 @plan(f"with {_P}, c as (select {_CONF} from px), q as (select {_RATIOS} from c) select {_R6} from q")
@@ -61,12 +75,6 @@ def macro_metrics(spark, d):
     return per.agg(*(F.round(F.avg(n), 6).alias(n) for n in _NAMES))
 
 
-@plan(f"with {_P} select image, round((2*sum(gt*prob)+1)/(sum(gt)+sum(prob)+1),6) as soft_dice, round((sum(gt*prob)+1)/(sum(gt)+sum(prob)-sum(gt*prob)+1),6) as soft_iou from px group by image")
-def soft_metrics(spark, d):
-    """M2-M4."""
-    return metrics.soft_overlap(pixels(spark, d)).select("image", *r6("soft_dice", "soft_iou"))
-
-
 _SURF = """{n} as (select image, r, c from {m} a where (select count(*) from {m} b where b.image = a.image and abs(b.r-a.r) <= 1 and abs(b.c-a.c) <= 1) < 9)"""
 _MASKS = f"with {_P}, t as (select image, r, c from px where gt > 0), p as (select image, r, c from px where prob >= 0.5), {_SURF.format(n='st', m='t')}, {_SURF.format(n='sp', m='p')}"
 
@@ -190,17 +198,14 @@ def class_kappa(spark, d):
     return labels.fleiss_kappa(packs(spark, d), ["image", "seep_id"], "class").select("n_items", *r6("kappa"))
 
 
-_VOTES = "pv as (select a.image, a.seep_id as a, b.seep_id as b, a.grp = b.grp as same from lab a join lab b on a.image = b.image and a.labeler = b.labeler and a.seep_id < b.seep_id and b.seep_id <= a.seep_id + 5 and b.seep_id <= 75)"
+_VOTES = """pv as (select a.image, a.seep_id as a, b.seep_id as b, a.grp = b.grp as same from lab a join lab b on a.image = b.image and a.labeler = b.labeler and a.seep_id < b.seep_id
+ where a.is_calibration and b.is_calibration)"""
 
 
 @plan(f"with {_L}, {_VOTES}, {_FLEISS.format(i='image, a, b', c='same', t='pv')}")
 def grouping_kappa(spark, d):
-    """L3: votes on pairs of near ids (a range join), together or apart."""
-    lab = packs(spark, d).where("seep_id <= 75").select("image", "labeler", "seep_id", "grp")
-    b = lab.select("image", "labeler", F.col("seep_id").alias("b"), F.col("grp").alias("gb"))
-    a = lab.withColumn("b", F.explode(F.sequence(F.col("seep_id") + 1, F.col("seep_id") + 5))).withColumnRenamed("seep_id", "a")
-    votes = a.join(b, ["image", "labeler", "b"]).select("image", "a", "b", (F.col("grp") == F.col("gb")).alias("same"))
-    return labels.fleiss_kappa(votes, ["image", "a", "b"], "same").select("n_items", *r6("kappa"))
+    """L3: all pairs of the calibration items of an image."""
+    return labels.grouping_kappa(packs(spark, d).where("is_calibration")).select("n_items", *r6("kappa"))
 
 
 @plan(f"""with recursive {_L}, cal as (select * from lab where is_calibration), e as (select a.image, a.seep_id as u, b.seep_id as v from cal a join cal b on a.image = b.image and a.labeler = b.labeler and a.grp = b.grp and a.seep_id <> b.seep_id group by all having count(distinct a.labeler) >= 2),
@@ -271,10 +276,12 @@ def k_folds(spark, d):
     return selection.folds(hist(spark, d), [(F.col("id") * 7919) % 10007, F.col("id")], ["type_flux"], 5).select("id", "fold")
 
 
-@plan(f"with {_S}, k as (select aoi, strip, cloud, scene, abs(date_diff('day', date '2000-01-01', cast(acquired as date))) as days, row_number() over (partition by aoi, strip order by cloud, abs(date_diff('day', date '2000-01-01', cast(acquired as date))), scene, part, price) as n from sc) select aoi, strip, round(cloud,6) as cloud, cast(days as int) as days, scene from k where n = 1 and cloud <= 0.2")
+@plan(f"""with {_S}, r as (select *, cloud*1e6 + abs(date_diff('day', date '2000-01-01', cast(acquired as date)))*1e3 + coalesce(scene_cloud, 100) as rk from sc),
+ k as (select *, row_number() over (partition by aoi, strip order by rk, scene, part, price) as n from r)
+ select aoi, strip, round(cloud,6) as cloud, round(rk,6) as rank_key, scene from k where n = 1 and cloud <= 0.2""")
 def top_scene(spark, d):
     """O4, F29, P22."""
-    return selection.top_scene(scenes(spark, d), "2000-01-01", 0.2).select("aoi", "strip", F.round("cloud", 6).alias("cloud"), "days", "scene")
+    return selection.top_scene(scenes(spark, d), "2000-01-01", 0.2).select("aoi", "strip", F.round("cloud", 6).alias("cloud"), "rank_key", "scene")
 
 
 @plan(None)
@@ -327,27 +334,44 @@ def gap_stats(spark, d):
     return temporal.gaps(acq(spark, d), "aoi", "t", "event_id").groupBy("aoi").agg(F.count(h).alias("n"), F.round(F.avg(h), 6).alias("mean_gap"), F.round(F.max(h), 6).alias("max_gap"))
 
 
-_PREP = f"with {_W}, pr as (select event_id, ts, temp, dew, wind, precip = -1 as trace, case when precip = -1 then 0 when precip = -9999 then null else precip end as precip, case when wind_dir > 360 then null else wind_dir end as wind_dir from w)"
+_NUM = "case when {c} <> -9999 then {c} end"
+_PREP = f"""with {_W}, a as (select event_id, ts, {', '.join(f'{_NUM.format(c=c)} as {c}' for c in ('temp', 'dew', 'pressure', 'wind', 'sky', 'wind_dir', 'precip_1h', 'precip_6h'))} from w),
+ pr as (select event_id, ts, temp/10.0::double as temp, dew/10.0::double as dew, pressure/10.0::double as pressure, wind/10.0::double as wind, sky,
+  coalesce(precip_1h = -1, false) as trace_1h, coalesce(precip_6h = -1, false) as trace_6h, case when precip_1h <> -1 then precip_1h/10.0::double end as precip_1h, case when precip_6h <> -1 then precip_6h/10.0::double end as precip_6h,
+  case when wind_dir = 360 then 0 when wind_dir <> 0 then wind_dir end as wind_dir from a)"""
 
 
-@plan(f"{_PREP} select event_id, precip, trace, wind_dir from pr")
+@plan(f"{_PREP} select event_id, temp, dew, pressure, wind, sky, wind_dir, precip_1h, precip_6h, trace_1h, trace_6h from pr")
 def weather_prepare(spark, d):
     """P16."""
-    return temporal.prepare_weather(weather(spark, d)).select("event_id", "precip", "trace", "wind_dir")
+    return temporal.prepare_weather(weather(spark, d)).select("event_id", "temp", "dew", "pressure", "wind", "sky", "wind_dir", "precip_1h", "precip_6h", "trace_1h", "trace_6h")
 
 
-@plan(f"{_PREP} select event_id, temp between 15 and 25 and coalesce(precip,0) = 0 and wind <= 3 as perfect, temp between 15 and 25 and coalesce(precip,0) = 0 and wind > 3 as not_sure, temp <= 15 as too_cold, temp >= 25 as too_hot, coalesce(precip,0) <> 0 as rain from pr where strftime(ts, '%H:%M:%S') between '08:00:00' and '18:00:00'")
+_DRY = "temp between 15 and 25 and coalesce(precip_1h,0) = 0"
+
+
+@plan(f"""{_PREP}, f as (select event_id, {_DRY} and wind > 0 and wind <= 2 and sky in (2,3,4) as perfect,
+  {_DRY} and ((wind > 0 and wind <= 2) or wind is null) and (sky in (2,3,4) or sky is null) as not_sure, temp <= 15 as too_cold, temp >= 25 as too_hot, precip_1h > 0 as rain
+  from pr where strftime(ts, '%H:%M:%S') between '08:00:00' and '18:00:00')
+ select event_id, {', '.join(f'coalesce({c}, false) as {c}' for c in ('perfect', 'not_sure', 'too_cold', 'too_hot', 'rain'))} from f""")
 def weather_cases(spark, d):
-    """P7, P8."""
+    """P6, P7, P8."""
     day = temporal.prepare_weather(weather(spark, d)).where(F.date_format("ts", "HH:mm:ss").between("08:00:00", "18:00:00"))
     return day.select("event_id", *(c.alias(n) for n, c in temporal.weather_cases().items()))
 
 
-@plan(f"with {_W}, h as (select event_id, temp, greatest(0, least(100, 100*(6.112*exp(17.67*dew/(dew+243.5)))/(6.112*exp(17.67*temp/(temp+243.5))))) as rh from w) select event_id, round(rh,6) as rh, round(temp*atan(0.151977*sqrt(rh+8.313659))+atan(temp+rh)-atan(rh-1.676331)+0.00391838*pow(rh,1.5)*atan(0.023101*rh)-4.686035,6) as wet_bulb from h")
+_MAGNUS = "6.1094*exp(17.625*{c}/(243.04+{c}))"
+
+
+@plan(f"""{_PREP}, h as (select event_id, temp, greatest(0, least(100, 100*({_MAGNUS.format(c='dew')})/({_MAGNUS.format(c='temp')}))) as rh from pr where temp is not null),
+ b as (select event_id, rh, temp*atan(0.151977*sqrt(rh+8.313659))+atan(temp+rh)-atan(rh-1.676331)+0.00391838*pow(rh,1.5)*atan(0.023101*rh)-4.686035 as wb from h)
+ select event_id, round(rh,6) as rh, round(wb,6) as wet_bulb, case when f < 18 then 0 when f < 20 then 1 when f < 23 then 2 when f < 27 then 3 when f < 28 then 4 else 5 end as snow from (select *, round(wb,6)*9/5+32 as f from b) t""")
 def wet_bulb(spark, d):
-    """F9."""
+    """F8, F9."""
+    rows = temporal.prepare_weather(weather(spark, d)).where("temp is not null")
     rh, wet = temporal.humidity("temp", "dew")
-    return weather(spark, d).select("event_id", F.round(rh, 6).alias("rh"), F.round(wet, 6).alias("wet_bulb"))
+    out = rows.select("event_id", F.round(rh, 6).alias("rh"), F.round(wet, 6).alias("wet_bulb"))
+    return out.withColumn("snow", S.digitize(F.col("wet_bulb") * 9 / 5 + 32, [18, 20, 23, 27, 28]))
 
 
 @plan(f"with {_T} select run, epoch, loss, metric from (select *, row_number() over (partition by run order by loss, epoch) as k from lg) t where k = 1")
@@ -370,6 +394,14 @@ def early_stop(spark, d):
     return temporal.early_stop(log(spark, d), 20, 10.0)
 
 
+@plan(f"""with recursive {_T}, f(run, epoch, best, wait, stop) as (select run, epoch, metric, 0, cast(null as bigint) from lg where epoch = 1 union all
+ select f.run, lg.epoch, case when lg.metric - f.best > 1 then lg.metric else f.best end, case when lg.metric - f.best > 1 then 0 else f.wait+1 end, case when lg.metric - f.best > 1 then null when f.wait+1 >= 15 then lg.epoch end
+ from f join lg on lg.run = f.run and lg.epoch = f.epoch+1 where f.stop is null) select run, max(stop) as stop_epoch from f group by run""")
+def early_stop_max(spark, d):
+    """W8, where more is better."""
+    return temporal.early_stop(log(spark, d).withColumn("loss", F.col("metric")), 15, 1.0, "max")
+
+
 @plan(f"with r as ({X.RUNS}) select dataset, arch, count(*) as n, round(avg(iou),6) as iou, round(avg(ln(least(greatest(iou,1e-6),1-1e-6)/(1-least(greatest(iou,1e-6),1-1e-6)))),6) as logit_iou, round(avg(ln(greatest(unc,1e-6))),6) as log_unc from r group by 1,2")
 def run_metrics(spark, d):
     """A14, F10."""
@@ -432,12 +464,12 @@ def pairwise_contrasts(spark, d):
     return draws.contrast_summary(draws.pairwise(X.draws(spark, d)), ["a", "b"], 0.02).select("a", "b", *r6(*_CS))
 
 
-@plan(f"with {_D}, v as (select sample, grp, 0.75*value/(select stddev_pop(value) from dr) + 0.25*exp(value)/(select stddev_pop(exp(value)) from dr) as value from dr), rk as (select grp, row_number() over (partition by sample order by round(value,9) desc, grp) as rank from v) select grp, round(avg(rank),6) as e_rank, round(avg(cast(rank = 1 as int)),6) as p_best from rk group by grp")
+@plan(f"with {_D}, v as (select sample, grp, 0.75*value/((select stddev_pop(value) from dr)+1e-12) - 0.25*exp(value)/((select stddev_pop(exp(value)) from dr)+1e-12) as value from dr), rk as (select grp, row_number() over (partition by sample order by round(value,9) desc, grp) as rank from v) select grp, round(avg(rank),6) as e_rank, round(avg(cast(rank = 1 as int)),6) as p_best from rk group by grp")
 def composite_ranks(spark, d):
     """B10, Q7."""
     one = X.draws(spark, d).withColumn("metric", F.lit("a"))
     both = one.unionByName(one.withColumn("metric", F.lit("b")).withColumn("value", F.exp("value")))
-    ranked = draws.composite(both, {"a": 3.0, "b": 1.0}).withColumn("value", F.round("value", 9))
+    ranked = draws.composite(both, {"a": 3.0, "b": 1.0}, lower=("b",)).withColumn("value", F.round("value", 9))
     return draws.rank_probabilities(ranked).select("grp", *r6("e_rank", "p_best"))
 
 
