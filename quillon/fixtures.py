@@ -61,6 +61,19 @@ HISTORICAL = """select p_partkey as id, case p_size % 6 when 0 then 'a' when 1 t
 #: Nine groups (three datasets by three models): the first nine places of each vector; the others are no groups.
 DRAWS_ORACLE = "select cast(vec_id as bigint) as sample, cast(unnest(range(9)) as bigint) as grp, cast(embedding[unnest(range(1,10))] as double) as value from embeddings"
 
+#: Four overlapping label areas an image, and the images' bounds.
+_IMAGES = "select distinct cast(floor(o_orderkey/500) as bigint) as image from orders"
+AREAS = f"""select image, q as area_id, cast(q % 2 as double)*8 as x0, cast(floor(q/2) as double)*8 as y0, cast(q % 2 as double)*8+12 as x1, cast(floor(q/2) as double)*8+12 as y1, cast(144 as double) as area
+ from ({_IMAGES}) i cross join (select cast(0 as bigint) as q union all select 1 union all select 2 union all select 3) a"""
+
+#: A flight track: a counter with gaps, and a place that is missing now and then.
+TRACK = """select user_id as flight, cast(ts as timestamp) as t, event_id, event_id - cast(floor(event_id/7) as bigint) % 3 as stati,
+ case when event_id % 17 = 3 then null else value end as x, value*2 as y from events"""
+
+#: Names of files in two folders, by position.
+FOLDER_A = "select row_number() over (order by c_custkey) - 1 as idx, c_name as name from customer where c_custkey % 3 <> 0"
+FOLDER_B = "select row_number() over (order by c_custkey desc) - 1 as idx, c_name as name from customer where c_custkey % 4 <> 0"
+
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
