@@ -45,7 +45,7 @@ def region_hulls(spark, d):
     return r.groupBy("image", "label").agg(F.count("*").alias("area")).join(hull, ["image", "label"]).withColumn("solidity", F.col("area") / F.col("hull"))
 
 
-@plan(f"""{_REG}, gg as (select distinct image, label // 3 as grp, r, c from reg), e as (select g.image, g.grp, count(*) as perimeter from gg g, (values (0,1),(1,0),(0,-1),(-1,0)) m(dr,dc) where not exists (select 1 from gg h where h.image = g.image and h.grp = g.grp and h.r = g.r+dr and h.c = g.c+dc) group by 1, 2),
+@plan(f"""{_REG}, gg as (select distinct image, label // 3 as grp, r, c from reg), ed as (select g.image, g.grp, count(*) as perimeter from gg g, (values (0,1),(1,0),(0,-1),(-1,0)) m(dr,dc) where not exists (select 1 from gg h where h.image = g.image and h.grp = g.grp and h.r = g.r+dr and h.c = g.c+dc) group by 1, 2),
  aa as (select image, grp, count(*) as area from gg group by 1, 2), kk as (select image, grp, count(distinct label) as n from (select image, label, label // 3 as grp from reg) q group by 1, 2) select image, grp, area, perimeter, n from aa join ed using (image, grp) join kk using (image, grp)""")
 def dissolved_groups(spark, d):
     """A2-A4: unions of groups of regions."""
