@@ -16,9 +16,9 @@ Counting makes no pair of equal grams by itself: a gram that an item repeats den
 one interval of places, and pairs are counted in blocks of ``PAIRS``, so a periodic text
 or a stem that many items share costs bounded memory.
 
-The benchmark is read in hashed blocks of ``block_chars`` characters, one at a time,
-and a block is released before the next one is read, so what the driver and the
-executors hold of it at once is bounded. A benchmark of one block, the usual case, is
+The benchmark is read in hashed blocks of ``block_chars`` characters. The driver holds
+at most two of them (one in use, the next one) and executors one, so what is held of
+it at once is bounded. A benchmark of one block, the usual case, is
 searched in one scan of the documents; each further block costs one more. (Grams of
 texts are not shuffled to meet grams of items: in prose a large part of all places hold
 a gram of some item.)
