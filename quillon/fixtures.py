@@ -71,8 +71,8 @@ TRACK = """select user_id as flight, cast(ts as timestamp) as t, event_id, event
  case when event_id % 17 = 3 then null else value end as x, value*2 as y from events"""
 
 #: Names of files in two folders, by position.
-FOLDER_A = "select row_number() over (order by c_custkey) - 1 as idx, c_name as name from customer where c_custkey % 3 <> 0"
-FOLDER_B = "select row_number() over (order by c_custkey desc) - 1 as idx, c_name as name from customer where c_custkey % 4 <> 0"
+FOLDER_A = "select cast(row_number() over (order by c_custkey) - 1 as bigint) as idx, c_name as name from customer where c_custkey % 3 <> 0"
+FOLDER_B = "select cast(row_number() over (order by c_custkey desc) - 1 as bigint) as idx, c_name as name from customer where c_custkey % 4 <> 0"
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 

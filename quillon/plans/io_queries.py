@@ -62,7 +62,7 @@ def appended_log(spark, d):
     rows, path = log(spark, d).where("epoch <= 4"), f"{_folder(spark, 'log')}/log"
     sinks.append_rows(rows.where("epoch <= 2").select("run", "epoch", "loss"), path)
     sinks.append_rows(rows.where("epoch > 2"), path)
-    return spark.read.option("mergeSchema", True).parquet(path).select("run", "epoch", "loss", "metric")
+    return spark.read.option("mergeSchema", True).parquet(path).select("run", F.col("epoch").cast("long").alias("epoch"), "loss", "metric")
 
 
 @plan(f"with {ctes(px=X.PIXELS)} select image, r, c, cast(prob >= 0.5 as int) as mask, cast(round(prob*255) as int) as scaled from px where image = 1 and r between 2 and 6 and c between 3 and 8")

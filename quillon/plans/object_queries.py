@@ -101,7 +101,7 @@ def block_averages(spark, d):
 _STARTS = f"{_SIZES}, st as (select image, unnest(case when rows <= 8 then [0::bigint] else range(0, rows-8, 4) end) as pr, cols from sz), gr as (select image, pr, unnest(case when cols <= 8 then [0::bigint] else range(0, cols-8, 4) end) as pc from st)"
 
 
-@plan(f"with {_P}, {_STARTS} select gr.image, pr, pc, count(*) as n, sum(gt) as n_pos from gr join px on px.image = gr.image and r >= pr and r < pr+8 and c >= pc and c < pc+8 group by 1, 2, 3")
+@plan(f"with {_P}, {_STARTS} select gr.image, pr, pc, count(*) as n, cast(sum(gt) as bigint) as n_pos from gr join px on px.image = gr.image and r >= pr and r < pr+8 and c >= pc and c < pc+8 group by 1, 2, 3")
 def grid_patches(spark, d):
     """Patches of a sliding grid; a pixel finds its patches by their starts."""
     px = pixels(spark, d).select("image", "r", "c", "gt")

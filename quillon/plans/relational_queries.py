@@ -96,7 +96,7 @@ def first_area(spark, d):
 def clipped_objects(spark, d):
     """Objects cut to the areas, numbered in each area."""
     size = (F.col("cx1") - F.col("cx0")) * (F.col("cy1") - F.col("cy0"))
-    return _hits(spark, d).select("image", "gt_id", "area_id", F.round(size, 6).alias("clipped"), F.row_number().over(Window.partitionBy("image", "area_id").orderBy("gt_id")).alias("chip_id"))
+    return _hits(spark, d).select("image", "gt_id", "area_id", F.round(size, 6).alias("clipped"), F.row_number().over(Window.partitionBy("image", "area_id").orderBy("gt_id")).cast("long").alias("chip_id"))
 
 
 @plan("select a.image, a.r, a.c from ({0}) a where a.gt > 0 and a.prob < 0.5".format(X.PIXELS))
@@ -234,7 +234,7 @@ def gap_filled_mosaic(spark, d):
 
 
 @plan(f"""with s as (select aoi, scene, cast(floor(price) as bigint) % 12 as scl, part, cloud from ({X.SCENES}) s) select aoi, round(avg(case when scl in (3,8,9,10) then 1 else 0 end) filter (where scl > 0),6) as cloud_frac,
- count(*) filter (where scl > 0 and scl not in (3,8,9,10)) as clear, coalesce(sum(part) filter (where cloud <= 0.1), 0) as clear_area from s group by 1""")
+ count(*) filter (where scl > 0 and scl not in (3,8,9,10)) as clear, cast(coalesce(sum(part) filter (where cloud <= 0.1), 0) as bigint) as clear_area from s group by 1""")
 def cloud_fractions(spark, d):
     """The share of cloud classes over pixels with data, the pixels kept, and the area of the scenes chosen."""
     from quillon.operators.scenes import cloud_fraction, is_clear
@@ -311,7 +311,7 @@ def raster_windows(spark, d):
     return gt.select("image", "gt_id", lo("x0").alias("col0"), hi("x1").alias("col1"), lo("y0").alias("row0"), hi("y1").alias("row1"), F.round(cx, 6).alias("cx"), F.round(cy, 6).alias("cy"))
 
 
-@plan("select l_suppkey as run, count(*) as n, sum(case when l_linenumber % 3 = 0 then 1 else 0 end) as n_oom, cast(to_json({'run': l_suppkey, 'best': min(l_extendedprice)}) as varchar) as meta from lineitem group by 1")
+@plan("select l_suppkey as run, count(*) as n, cast(sum(case when l_linenumber % 3 = 0 then 1 else 0 end) as bigint) as n_oom, cast(to_json({'run': l_suppkey, 'best': min(l_extendedprice)}) as varchar) as meta from lineitem group by 1")
 def run_log(spark, d):
     """A typed log of runs with their state, and their settings as JSON."""
     li = spark.read.parquet(f"{d}/lineitem.parquet")
