@@ -7,7 +7,7 @@ in articles too, are hashed and counted per host in Spark, and template parts de
 
 * by pages: subtrees outside articles, and containers (div, section and the like) in
   them, that are on at least half of a host's pages and on ``min_pages`` of them;
-* by contexts: any subtree but a table cell or a term that stands in as many contexts,
+* by contexts: any subtree but a table cell, a term or an article's title (h1) that stands in as many contexts,
   or in ``most`` of them on a host of more pages. A context is a min-hash of the text
   around the subtree: exact copies of an article have one, near copies few, so a copied
   article is no template. The best of ``SEEDS`` hashes counts, as other template parts
@@ -193,7 +193,7 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, bool, bool]]]
         for _, inside in blocks:
             new.append(new[-1] + inside)
     kept = [t for t, inside in blocks if inside or not article]
-    parts = [(h, new[a], new[b], not article or tag in CONTAINERS, tag not in CELLS) for h, a, b, inside, tag in subtrees if inside or not article]
+    parts = [(h, new[a], new[b], not article or tag in CONTAINERS, tag not in CELLS and not (inside and tag == "h1")) for h, a, b, inside, tag in subtrees if inside or not article]
     return kept, [x for x in parts if x[1] > 0 or x[2] < len(kept)]
 
 

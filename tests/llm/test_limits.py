@@ -301,6 +301,14 @@ def test_template_stage_decides(spark):
     assert all(off[n] != truth[n] for n in range(40))
 
 
+def test_titles_that_articles_share_stay(spark):
+    rng = np.random.default_rng(14)
+    prose = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    rows = [(n, "http://a.example/", f"<article><h1>Daily report</h1><p>{prose(30)}</p><p>Read more of us</p></article>") for n in range(30)]
+    got = [r.text.split("\n") for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert all(t[0] == "Daily report" and len(t) == 2 for t in got)
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20000 + "text" + "</div>" * 20000
     blocks, parts = htmltext.parse(deep)
