@@ -145,11 +145,11 @@ def geojson_features(spark, d):
     return files.geojson(spark, path, "id: bigint").select("id", "kind", *r6("x0", "y0", "x1", "y1"))
 
 
-@plan("select 'Toolik_lake_20200705_3m_T1' as filename, 'Toolik' as region, 'lake' as target, timestamp '2020-07-05' as date, '3m' as resolution, 'T1' as tile union all select 'Lena', 'Lena', 'unknown', null, 'unknown', 'unknown'")
+@plan("select 'Northern_lake_20200705_3m_T1' as filename, 'Northern' as region, 'lake' as target, timestamp '2020-07-05' as date, '3m' as resolution, 'T1' as tile union all select 'Plain', 'Plain', 'unknown', null, 'unknown', 'unknown'")
 def aoi_files(spark, d):
     """Area files and what their names say."""
     root = _folder(spark, "aois")
-    names = ("Toolik_lake_20200705_3m_T1", "Lena")
+    names = ("Northern_lake_20200705_3m_T1", "Plain")
     sc = spark.sparkContext
     for name in names:  # two files of one byte, made through the file system that Spark uses
         path = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.gpkg")
