@@ -7,11 +7,14 @@ in articles too, are hashed and counted per host in Spark, and template parts de
 
 * by pages: subtrees outside articles, and containers (div, section and the like) in
   them, that are on at least half of a host's pages and on ``min_pages`` of them;
-* by contexts: any subtree but a table cell, a term or an article's title (h1) that stands in as many contexts,
-  or in ``most`` of them on a host of more pages. A context is a min-hash of the text
-  around the subtree: exact copies of an article have one, near copies few, so a copied
-  article is no template. The best of ``SEEDS`` hashes counts, as other template parts
-  can hold the least one; they must number a third of the different texts at least.
+* by contexts: any subtree but a table cell, a term or an article's title (h1) that stands
+  in as many contexts; outside articles, and for containers in them, ``most`` contexts
+  are enough on a host of more pages. A paragraph, list or table of an article needs the
+  half: on fewer pages of a large host it may be the author's own words, as a licence
+  line, a refrain or a passage that several articles quote. A context is a min-hash of
+  the text around the subtree: exact copies of an article have one, near copies few, so
+  a copied article is no template. The best of ``SEEDS`` hashes counts, as other template
+  parts can hold the least one; they must number a third of the different texts at least.
 
 A page is never deleted whole.
 
@@ -258,12 +261,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     hosts = parsed.groupBy("host").agg(F.count("*").alias("n"))
     hosts = hosts.select("host", F.greatest(F.lit(min_pages), F.col("n") * share).alias("half"), F.greatest(F.lit(min_pages), F.least(F.lit(most), F.col("n") * share)).alias("few"))
     seen = parts.where("once").groupBy("host", "hash").agg(F.count_if("pages").alias("n_pages"), F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    often = seen.join(hosts, "host").where(F.col("n") >= F.col("few")).select("host", "hash", "few", (F.col("n_pages") >= F.col("half")).alias("common"))
+    often = seen.join(hosts, "host").where(F.col("n") >= F.col("few")).select("host", "hash", "few", "half", (F.col("n_pages") >= F.col("half")).alias("common"))
     found = scratch.write("often", parts.join(often.hint("shuffle_hash"), ["host", "hash"]))
     contexts = [F.count_distinct(F.when(F.col("contexts"), F.col("around")[i])) for i in range(SEEDS)]
-    counts = found.groupBy("host", "hash", "few").agg(F.greatest(*contexts).alias("n"), F.count_distinct("whole").alias("texts"))
-    spread = counts.where((F.col("n") >= F.col("few")) & (F.col("n") * 3 >= F.col("texts"))).select("host", "hash", F.lit(True).alias("spread"))
-    chosen = found.join(spread.hint("shuffle_hash"), ["host", "hash"], "left").where((F.col("common") & F.col("pages")) | (F.col("spread") & F.col("contexts")))
+    counts = found.groupBy("host", "hash", "few", "half").agg(F.greatest(*contexts).alias("n"), F.count_distinct("whole").alias("texts"))
+    spread = counts.where((F.col("n") >= F.col("few")) & (F.col("n") * 3 >= F.col("texts"))).select("host", "hash", F.lit(True).alias("spread"), (F.col("n") >= F.col("half")).alias("mostly"))
+    chosen = found.join(spread.hint("shuffle_hash"), ["host", "hash"], "left").where((F.col("common") & F.col("pages")) | (F.col("spread") & F.col("contexts") & (F.col("pages") | F.col("mostly"))))
     ranges = scratch.write("ranges", chosen.groupBy("row").agg(F.collect_set(F.struct("first", "past")).alias("ranges")))
     del parts, hosts, seen, often, found, counts, spread, chosen
     scratch.drop("often")

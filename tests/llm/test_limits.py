@@ -309,6 +309,21 @@ def test_titles_that_articles_share_stay(spark):
     assert all(t[0] == "Daily report" and len(t) == 2 for t in got)
 
 
+def test_lines_that_some_articles_share_stay(spark):
+    rng = np.random.default_rng(15)
+    prose = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    rows, want = [], {}
+    for n in range(120):  # a licence line in 30 articles, a box in 30, a note in 90
+        own = [prose(30), prose(30)]
+        line = ["Released under the MIT License."] * (n % 4 == 0)
+        box = "<div>Our picks of the week</div>" * (n % 4 == 1)
+        note = "<p>Tell your friends about us</p>" * (n % 4 != 0)
+        rows.append((n, f"http://a.example/{n}", f"<article>{box}<p>{own[0]}</p>{''.join(f'<p>{x}</p>' for x in line)}<p>{own[1]}</p>{note}</article>"))
+        want[n] = "\n".join([own[0], *line, own[1]])
+    got = htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20000 + "text" + "</div>" * 20000
     blocks, parts = htmltext.parse(deep)
