@@ -47,7 +47,8 @@ def lonely_cluster(clustered: DataFrame, r_in: float, r_halo: float, max_halo: i
     near = range_join(center, clustered.select("image", "bubble_id", "x", "y"), ["image"], r_halo).select("image", "root", F.col("r_bubble_id").alias("bubble_id"))
     others = near.join(member.select("image", "root", "bubble_id"), ["image", "root", "bubble_id"], "left_anti").groupBy("image", "root").agg(F.count("*").alias("halo"))
     good = center.join(others, ["image", "root"], "left").where(F.coalesce("halo", F.lit(0)) < max_halo).select("image", "root", "new_id")
-    moved = member.select("image", "bubble_id", "root").join(good, ["image", "root"]).select("image", "bubble_id", "new_id")
+    moved = scratch.write("moved", member.select("image", "bubble_id", "root").join(good, ["image", "root"]).select("image", "bubble_id", "new_id"))
+    scratch.drop("member")
     out = clustered.join(moved, KEY, "left")
     return out.withColumn("lonely_pass", F.col("new_id").isNotNull()).withColumn("cluster_id", F.coalesce("new_id", "cluster_id")).drop("new_id")
 

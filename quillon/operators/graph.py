@@ -11,10 +11,11 @@ from quillon.scratch import Scratch
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", scope: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(*scope, id, root) for every node with an edge; root is the component's least id.
 
-    Undirected. Each round takes the least label among a node and its neighbours and
-    then jumps to the label's own label, so the number of rounds grows with the
-    logarithm of the component's diameter in practice. Labels are written between
-    rounds: no lineage grows and no link or label reaches the driver, only a count.
+    Undirected. Each round every group of equal labels learns the least label that any
+    of its members has beside it, jumps to that label's own label, and hands it to all
+    members. Whole groups move, not nodes, so long chains need few rounds, whether their
+    ids are sorted (the jumps double) or shuffled (the groups merge). Labels are written between rounds: no lineage grows
+    and no link or label reaches the driver, only the question whether one has changed.
     Nodes of degree zero are the caller's: left-join and coalesce to the own id.
     The rounds run when the function is called. Only the table of the result stays, in
     ``scratch`` where the caller has one.
@@ -28,9 +29,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
     while True:
         heads = labels.withColumnsRenamed({"id": "v", "root": "r"})
         near = both.join(heads, [*scope, "v"]).groupBy(*scope, "u").agg(F.min("r").alias("near")).withColumnRenamed("u", "id")
-        hooked = labels.join(near, [*scope, "id"]).select(*scope, "id", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
-        jump = labels.select(*scope, F.col("id").alias("mid"), F.col("root").alias("far"))
-        moved = hooked.join(jump, [*scope, "mid"], "left").select(*scope, "id", "old", F.least("mid", "far").alias("root"))
+        hooks = labels.join(near, [*scope, "id"]).groupBy(*scope, "root").agg(F.min("near").alias("near")).select(*scope, "root", F.least("root", "near").alias("hook"))
+        beyond = labels.select(*scope, F.col("id").alias("hook"), F.col("root").alias("far"))
+        jump = hooks.join(beyond, [*scope, "hook"]).select(*scope, "root", "far")
+        moved = labels.join(jump, [*scope, "root"]).select(*scope, "id", F.col("root").alias("old"), F.col("far").alias("root"))
         step = own.write(f"labels{turn + 1}", moved)
         changed = not step.where("old <> root").isEmpty()
         labels = step.drop("old")
