@@ -25,6 +25,7 @@ def static_plans(monkeypatch, build):
     "name",
     [
         "density_clusters",
+        "lonely_clusters",
     ],
 )
 def test_no_broadcast_by_file_size(spark, monkeypatch, name):
