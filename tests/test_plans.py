@@ -26,6 +26,7 @@ def static_plans(monkeypatch, build):
     [
         "density_clusters",
         "lonely_clusters",
+        "cluster_features",
     ],
 )
 def test_no_broadcast_by_file_size(spark, monkeypatch, name):
