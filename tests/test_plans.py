@@ -27,6 +27,7 @@ def static_plans(monkeypatch, build):
         "density_clusters",
         "lonely_clusters",
         "cluster_features",
+        "cluster_summary",
     ],
 )
 def test_no_broadcast_by_file_size(spark, monkeypatch, name):
