@@ -28,6 +28,7 @@ def static_plans(monkeypatch, build):
         "lonely_clusters",
         "cluster_features",
         "cluster_summary",
+        "local_max_clusters",
     ],
 )
 def test_no_broadcast_by_file_size(spark, monkeypatch, name):
