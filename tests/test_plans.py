@@ -30,6 +30,7 @@ def static_plans(monkeypatch, build):
         "cluster_summary",
         "local_max_clusters",
         "dissolved_groups",
+        "region_shapes",
     ],
 )
 def test_no_broadcast_by_file_size(spark, monkeypatch, name):
