@@ -31,6 +31,7 @@ def static_plans(monkeypatch, build):
         "local_max_clusters",
         "dissolved_groups",
         "region_shapes",
+        "region_hulls",
     ],
 )
 def test_no_broadcast_by_file_size(spark, monkeypatch, name):
