@@ -32,6 +32,7 @@ def static_plans(monkeypatch, build):
         "dissolved_groups",
         "region_shapes",
         "region_hulls",
+        "region_outlines",
     ],
 )
 def test_no_broadcast_by_file_size(spark, monkeypatch, name):
