@@ -33,6 +33,7 @@ def static_plans(monkeypatch, build):
         "region_shapes",
         "region_hulls",
         "region_outlines",
+        "regions_eight",
     ],
 )
 def test_no_broadcast_by_file_size(spark, monkeypatch, name):
