@@ -34,6 +34,7 @@ def static_plans(monkeypatch, build):
         "region_hulls",
         "region_outlines",
         "regions_eight",
+        "regions_without_snow",
     ],
 )
 def test_no_broadcast_by_file_size(spark, monkeypatch, name):
