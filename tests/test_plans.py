@@ -35,6 +35,7 @@ def static_plans(monkeypatch, build):
         "region_outlines",
         "regions_eight",
         "regions_without_snow",
+        "remapped_labels",
     ],
 )
 def test_no_broadcast_by_file_size(spark, monkeypatch, name):
